@@ -137,8 +137,8 @@ PROBE = r"\### Assistant: </turn> ok"
 
 
 def with_probe(spark: SparkSession, turns: DataFrame) -> DataFrame:
-    rows = [(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)]
-    return turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").union(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
+    return turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").union(probe)
 
 
 ORACLE_SQL = r"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, ngram_join, substring_dedup
+from . import chat, mixing, ngram_join, packing, quality, substring_dedup
 from .common import settle, table
 
 
@@ -15,6 +15,14 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeat_digest(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sized = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", mixing.word_count(F.col("text")).alias("size")))
@@ -32,6 +40,8 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_packing": op6_packing,
     "op7_mixing": op7_mixing,
     "op8_ngram_join": op8_ngram_join,
     "op9_chat": op9_chat,
