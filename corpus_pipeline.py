@@ -1,4 +1,9 @@
-"""The corpus pipeline: stages of the training-data operators, in order."""
+"""The corpus pipeline: five operators over documents, in order.
+
+Each stage reads all that its predecessor kept; all but the last return the
+columns of documents. Null and empty texts go with the first stage, which finds
+no language in them.
+"""
 
 from __future__ import annotations
 
@@ -6,20 +11,44 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerframe.llm import substring_dedup
+from ledgerframe.llm import language_id, mixing, ngram_join, packing, substring_dedup
 from ledgerframe.llm.common import settle, table
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is rejected go."""
+    return language_id.drop_rejected(docs, language_id.learn(docs))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that similarity links connect, the smallest doc_id stays."""
+    return ngram_join.keep_first(docs)
+
+
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 20 words or more that stand earlier in the corpus are cut."""
     return substring_dedup.cut_repeats(docs)
 
 
+def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are left out or repeated so that sources meet their targets."""
+    return mixing.mixed_documents(docs)
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their places in the training sequences."""
+    return packing.pack(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language ID", identify_language),
+    ("n-gram Jaccard join", drop_near_copies),
     ("substring dedup", cut_repeated_passages),
+    ("mixing", mix_to_weights),
+    ("packing", pack_windows),
 ]
 
-#: Minhash, language model and hash placement have no SQL twin; tests use brute force.
+#: Learned centroids, signatures and token ids have no SQL twin; tests use brute force.
 ORACLE_SQL: str | None = None
 
 

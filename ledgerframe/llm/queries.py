@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language_id, mixing, ngram_join, packing, quality, substring_dedup, toxicity
+from . import chat, knn_join, language_id, license_scan, mixing, ngram_join, packing, quality, substring_dedup, toxicity
 from .common import settle, table
 
 
@@ -16,6 +16,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", knn_join.quantise(F.col("embedding")).alias("v"))
+    return knn_join.knn_join(vectors, F.col("vec_id") % 100 == 0, 10)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_id.predict(docs, language_id.learn(docs))
@@ -48,8 +53,14 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(chat.with_probe(spark, table(spark, sf_dir, "conversations")))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = license_scan.document_paths(table(spark, sf_dir, "documents"))
+    return license_scan.scan_licenses(files)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_knn_join": op2_knn_join,
     "op3_language_id": op3_language_id,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_quality_rules": op5_quality_rules,
@@ -57,9 +68,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mixing": op7_mixing,
     "op8_ngram_join": op8_ngram_join,
     "op9_chat": op9_chat,
+    "op10_license_scan": op10_license_scan,
 }
 
+#: Exact top-k over all rows; spelled out as a join of the query set with them.
+KNN_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * d.v[i])) AS BIGINT) AS score
+      FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_knn_join": KNN_SQL,
     "op7_mixing": mixing.ORACLE_SQL,
     "op9_chat": chat.ORACLE_SQL,
 }
