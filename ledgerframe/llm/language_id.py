@@ -86,8 +86,10 @@ class LanguageModel:
     least: np.ndarray
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
-        x = np.log1p(counts).astype(np.float32) * self.idf
-        return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-9)
+        x = np.log1p(counts, dtype=np.float32)
+        x *= self.idf
+        x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x))[:, None], 1e-9)
+        return x
 
     def judge(self, counts: np.ndarray, n_letters: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and whether it is rejected, for every text."""
@@ -117,29 +119,40 @@ def _k_means(x: np.ndarray, k: int) -> np.ndarray:
     return centroids
 
 
-def fit_centroids(languages: list[str], counts: np.ndarray, n_letters: np.ndarray, whole: np.ndarray) -> LanguageModel:
-    """The model from gram counts of texts; those not whole only set rejection."""
-    names = sorted(set(languages), key=lambda s: s.encode())
+def _dense(packed: list[bytes]) -> np.ndarray:
+    """Gram counts of texts from their (slots, counts) bytes."""
+    out = np.zeros((len(packed), DIMENSIONS), dtype=np.float32)
+    for row, p in zip(out, packed, strict=True):
+        slots, counts = np.frombuffer(p, dtype=np.int32).reshape(2, -1)
+        row[slots] = counts
+    return out
+
+
+def fit_centroids(languages: list[str], packed: list[bytes], n_letters: np.ndarray, whole: np.ndarray) -> LanguageModel:
+    """The model from packed gram counts of texts; those not whole only set rejection."""
+    names = sorted({n for n, w in zip(languages, whole, strict=True) if w}, key=lambda s: s.encode())
+    model = LanguageModel(names, np.zeros(DIMENSIONS, dtype=np.float32), np.zeros((0, DIMENSIONS), dtype=np.float32), np.zeros(0, dtype=int), np.zeros((len(names), _BUCKETS)))
     if not names:
-        return LanguageModel([], np.zeros(DIMENSIONS), np.zeros((0, DIMENSIONS)), np.zeros(0, dtype=int), np.zeros((0, _BUCKETS)))
-    label = np.array([names.index(n) for n in languages])
-    n = int(whole.sum())
-    idf = np.log((n + 1) / ((counts[whole] > 0).sum(axis=0) + 1)).astype(np.float32) + 1
-    model = LanguageModel(names, idf, np.zeros((0, DIMENSIONS)), np.zeros(0, dtype=int), np.zeros((len(names), _BUCKETS)))
-    x = model.vectors(counts)
-    parts = [_k_means(x[whole & (label == k)], CENTROIDS) for k in range(len(names))]
-    model.centroids = np.concatenate(parts)
-    model.of = np.repeat(np.arange(len(names)), [len(p) for p in parts])
+        return model
+    rows = [np.array([i for i, x in enumerate(languages) if x == n]) for n in names]
+    seen = np.zeros(DIMENSIONS)
+    for own in rows:  # language by language, so that few rows are dense at once
+        seen += (_dense([packed[i] for i in own if whole[i]]) > 0).sum(axis=0)
+    model.idf = np.log((whole.sum() + 1) / (seen + 1)).astype(np.float32) + 1
+    parts = []
     bucket = _bucket(n_letters)
-    for k in range(len(names)):
-        own = (x[label == k] @ parts[k].T).max(axis=1)
+    for k, own in enumerate(rows):
+        parts.append(_k_means(model.vectors(_dense([packed[i] for i in own if whole[i]])), CENTROIDS))
+        cosine = np.concatenate([(model.vectors(_dense([packed[i] for i in own[a : a + 200]])) @ parts[k].T).max(axis=1) for a in range(0, len(own), 200)])
         found = np.full(_BUCKETS, np.nan)
         for b in range(_BUCKETS):
-            if (cosines := own[bucket[label == k] == b]).size:
-                found[b] = np.quantile(cosines, REJECT_QUANTILE) * REJECT_SHARE
+            if (of_length := cosine[bucket[own] == b]).size:
+                found[b] = np.quantile(of_length, REJECT_QUANTILE) * REJECT_SHARE
         have = np.flatnonzero(~np.isnan(found))
         # lengths that the sample lacks go by the next shorter one, or are not rejected
         model.least[k] = [found[have[have <= b][-1]] if (have <= b).any() else 0.0 for b in range(_BUCKETS)]
+    model.centroids = np.concatenate(parts)
+    model.of = np.repeat(np.arange(len(names)), [len(p) for p in parts])
     return model
 
 
@@ -149,7 +162,7 @@ def learn(docs: DataFrame) -> LanguageModel:
     known = rows.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return fit_centroids([], np.zeros((0, DIMENSIONS)), np.zeros(0), np.zeros(0, dtype=bool))
+        return fit_centroids([], [], np.zeros(0), np.zeros(0, dtype=bool))
     place = F.shiftrightunsigned(F.xxhash64("doc_id"), 33) / float(1 << 31)
     rate = F.element_at(F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, PER_LANGUAGE / n)))), F.col("lang"))
 
@@ -165,13 +178,7 @@ def learn(docs: DataFrame) -> LanguageModel:
 
     found = arrow_map(known.filter(place < rate), sampled, "doc_id long, lang string, whole boolean, letters long, counts binary").filter("letters > 0").collect()
     found.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, not r["whole"], r["letters"], r["counts"]))
-    dense = np.zeros((len(found), DIMENSIONS), dtype=np.float32)
-    for i, r in enumerate(found):
-        packed = np.frombuffer(r["counts"], dtype=np.int32).reshape(2, -1)
-        dense[i, packed[0]] = packed[1]
-    whole_langs = {r["lang"] for r in found if r["whole"]}
-    use = [i for i, r in enumerate(found) if r["lang"] in whole_langs]
-    return fit_centroids([found[i]["lang"] for i in use], dense[use], np.array([found[i]["letters"] for i in use]), np.array([found[i]["whole"] for i in use], dtype=bool))
+    return fit_centroids([r["lang"] for r in found], [bytes(r["counts"]) for r in found], np.array([r["letters"] for r in found]), np.array([r["whole"] for r in found], dtype=bool))
 
 
 def _judged(model: LanguageModel, columns: list[str]):
