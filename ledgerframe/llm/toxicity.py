@@ -85,27 +85,27 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
 
 
-def fit_linear(doc: np.ndarray, gram: np.ndarray, toxic: np.ndarray, rate: float) -> ToxicityModel:
-    """The classifier from (text, gram) pairs, each text's label and the rate of toxic rows."""
+def fit_linear(texts: list[np.ndarray], toxic: np.ndarray, rate: float) -> ToxicityModel:
+    """The classifier from each text's grams (each once) and label, and the rate of toxic rows."""
     prior = float(np.log(max(rate, 1e-6) / max(1 - rate, 1e-6)))
     n_toxic, n_clean = int(toxic.sum()), int((1 - toxic).sum())
+    none = np.zeros(0, dtype=np.int64)
     if not n_toxic or not n_clean:
-        return ToxicityModel(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32), prior if n_toxic or n_clean else -50.0)
-    size = 1 << HASH_BITS
-    yes = np.bincount(gram[toxic[doc] == 1], minlength=size)
-    no = np.bincount(gram[toxic[doc] == 0], minlength=size)
-    ratio = np.log((yes + 1) / (n_toxic + 2)) - np.log((no + 1) / (n_clean + 2))
-    strength = np.where(yes + no >= MIN_TEXTS, np.abs(ratio), 0)
+        return ToxicityModel(none, none.astype(np.float32), prior if n_toxic or n_clean else -50.0)
+    seen = np.zeros((2, 1 << HASH_BITS))
+    for grams, label in zip(texts, toxic, strict=True):
+        seen[label, grams] += 1
+    ratio = np.log((seen[1] + 1) / (n_toxic + 2)) - np.log((seen[0] + 1) / (n_clean + 2))
+    strength = np.where(seen.sum(axis=0) >= MIN_TEXTS, np.abs(ratio), 0)
     kept = np.sort(np.argsort(-strength, kind="stable")[:KEPT_GRAMS])
     kept = kept[strength[kept] >= MIN_RATIO]
     if not len(kept):
-        return ToxicityModel(kept, np.zeros(0, dtype=np.float32), prior)
-    name = np.full(size, -1)
+        return ToxicityModel(kept, none.astype(np.float32), prior)
+    name = np.full(1 << HASH_BITS, -1, dtype=np.int32)
     name[kept] = np.arange(len(kept))
-    used = name[gram] >= 0
-    doc, column = doc[used], name[gram[used]]
-    order = np.argsort(doc, kind="stable")
-    doc, column = doc[order], column[order]
+    columns = [(c := name[grams])[c >= 0] for grams in texts]
+    doc = np.repeat(np.arange(len(texts)), [len(c) for c in columns])
+    column = np.concatenate(columns)
     value = ratio[kept][column]
     weight, bias = np.zeros(len(kept)), 0.0
     n = len(toxic)
@@ -142,10 +142,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")  # SAMPLE_* rows at most
     found = sorted(arrow_map(texts, rows, "doc_id long, toxic int, grams binary").collect(), key=lambda r: (r["doc_id"], len(r["grams"])))
     grams = [np.frombuffer(r["grams"], dtype=np.int32) for r in found]
-    doc = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
     toxic = np.array([r["toxic"] for r in found], dtype=np.int64)
     rate = counts.get(1, 0) / max(1, sum(counts.values()))
-    return fit_linear(doc, np.concatenate([*grams, np.zeros(0, dtype=np.int32)]).astype(np.int64), toxic, rate)
+    return fit_linear(grams, toxic, rate)
 
 
 def toxicity_scores(docs: DataFrame, model: ToxicityModel) -> DataFrame:
