@@ -35,6 +35,8 @@ DIMENSIONS = 1 << 13
 CUTS = (12, 40, 120, 400)
 REJECT_QUANTILE, REJECT_SHARE = 0.01, 0.5
 _BUCKETS = 12
+#: Texts whose dense vectors a worker holds at once.
+_DENSE_TEXTS = 128
 UNKNOWN = "und"
 
 _LOWER_LETTER = np.array([ord(c.lower()) if (c := chr(i)).isalpha() and len(c.lower()) == 1 else ord(c) if c.isalpha() else 0 for i in range(0x3000)], dtype=np.uint32)
@@ -185,7 +187,7 @@ def _judged(model: LanguageModel, columns: list[str]):
     def run(batches: Batches) -> Batches:
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, most=_DENSE_TEXTS):
                 language, score, rejected = model.judge(*term_counts(texts[a:b]))
                 arrays = [batch.column(c).slice(a, b - a) for c in columns]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(language, pa.string()), pa.array(score, pa.float64()), pa.array(rejected)], names=[*columns, "lang_pred", "score", "rejected"])

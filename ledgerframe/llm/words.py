@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Bytes of text handled at once; a longer text forms a chunk of its own.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
 
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -23,7 +23,7 @@ _BASE = 0x9E3779B97F4A7C15
 _BYTE_CODES = np.random.Generator(np.random.PCG64(20_240_607)).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def _powers(log_n: int) -> tuple[np.ndarray, np.ndarray]:
     n = 1 << log_n
     up = np.full(n, _BASE, dtype=np.uint64)
@@ -111,12 +111,12 @@ def split_words(texts: list[str | None]) -> Words:
     return Words(raw, data, text, first, last, np.searchsorted(first, text))
 
 
-def chunks(texts: list[str | None], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Index ranges of documents of about ``limit`` characters each."""
+def chunks(texts: list[str | None], limit: int = CHUNK_BYTES, most: int = 1000) -> Iterator[tuple[int, int]]:
+    """Index ranges of documents of about ``limit`` characters, ``most`` texts at most."""
     start, held = 0, 0
     for i, t in enumerate(texts):
         size = len(t or "") + 1
-        if i > start and held + size > limit:
+        if i > start and (held + size > limit or i - start >= most):
             yield start, i
             start, held = i, 0
         held += size
