@@ -176,7 +176,8 @@ def learn(docs: DataFrame) -> LanguageModel:
                     found, n = term_counts([text[:cut]])
                     slots = np.flatnonzero(found[0])
                     packed = np.concatenate([slots, found[0][slots]]).astype(np.int32).tobytes()
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in ([ids[i]], [langs[i]], [cut is None], [int(n[0])], [packed])], names=["doc_id", "lang", "whole", "letters", "counts"])
+                    columns = (([ids[i]], pa.int64()), ([langs[i]], pa.string()), ([cut is None], pa.bool_()), ([int(n[0])], pa.int64()), ([packed], pa.binary()))
+                    yield pa.RecordBatch.from_arrays([pa.array(*c) for c in columns], names=["doc_id", "lang", "whole", "letters", "counts"])
 
     found = arrow_map(known.filter(place < rate), sampled, "doc_id long, lang string, whole boolean, letters long, counts binary").filter("letters > 0").collect()
     found.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, not r["whole"], r["letters"], r["counts"]))

@@ -60,7 +60,9 @@ def source_targets(sized: DataFrame) -> DataFrame:
 
 
 def mix_sources(rows: DataFrame) -> DataFrame:
-    """rows(doc_id, source, size, ...) with source_size, target and copies added."""
+    """rows(doc_id, source, size, ...) with source_size, target and copies, which
+    replace columns of these names."""
+    rows = rows.drop("source_size", "target", "copies")
     bucket = ["__lf_source", "__lf_bin", "__lf_salt"]
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))
