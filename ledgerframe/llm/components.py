@@ -8,6 +8,20 @@ from pyspark.sql import functions as F
 from .common import settle
 
 _MAX_ROUNDS = 60
+#: Parts that a vertex's edges are dealt over, so that a hub's go to many tasks.
+_SALTS = 32
+
+
+def with_least(rows: DataFrame, key: str, value: str, at_least: int = 1) -> DataFrame:
+    """rows with m, the smallest value of their key; only keys of at_least rows.
+
+    The join is on key and a salt of the value. Each key's least value has a row
+    for the salts it occurs with, so a key with many rows is split and one with
+    few is not multiplied.
+    """
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(value), F.lit(_SALTS)).cast("int"))
+    least = salted.groupBy(key).agg(F.min(value).alias("m"), F.count("*").alias("n"), F.collect_set("salt").alias("salts")).filter(F.col("n") >= at_least)
+    return salted.join(least.select(key, "m", F.explode("salts").alias("salt")), [key, "salt"]).drop("salt")
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -19,8 +33,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(a, b) edges between longs, to one row (a, b) for every vertex a but the
     smallest of each component, which is its b.
 
-    Every round joins edges with each vertex's smallest neighbour; no component
-    is gathered in one task. No edges give no rows.
+    Every round joins edges with each vertex's smallest neighbour; neither a
+    component nor a hub's edges are gathered in one task. No edges give no rows.
     """
     edges = settle(edges.select("a", "b").filter("a != b").distinct())
     before = _state(edges)
@@ -28,12 +42,10 @@ def components(edges: DataFrame) -> DataFrame:
         if not before[0]:
             return edges
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = with_least(both, "a", "b").filter("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
         down = large.filter("a != b").distinct()
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = settle(small.union(least.select("a", F.col("m").alias("b"))).distinct())
+        small = with_least(down, "a", "b")
+        edges = settle(small.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).distinct())
         after = _state(edges)
         if after == before:
             return edges

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, settle
-from .components import components
+from .components import components, with_least
 from .words import chunks, mix, signed, span_hash, prefix_sums, split_words, window_hash
 
 SHINGLE = 5
@@ -190,8 +190,7 @@ def text_classes(docs: DataFrame) -> DataFrame:
         .agg(F.coalesce(F.min(F.when(F.col("doc") != _NULL_ID, F.col("doc"))), F.lit(_NULL_ID)).alias("doc"), F.count("*").alias("w"), F.first("k").alias("k"), F.first("keys").alias("keys"))
     )
     leaves = reps.select("v", F.explode("keys").alias("key"))
-    hubs = leaves.groupBy("key").agg(F.min("v").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("key", "hub")
-    star = components(leaves.join(hubs, "key").select(F.col("v").alias("a"), F.col("hub").alias("b")))
+    star = components(with_least(leaves, "key", "v", at_least=2).select(F.col("v").alias("a"), F.col("m").alias("b")))
     members = star.select(F.col("a").alias("v"), F.col("b").alias("comp")).union(star.select(F.col("b").alias("v"), F.col("b").alias("comp")).distinct())
     members = settle(members.join(reps.drop("keys"), "v"))
     sizes = members.groupBy("comp").agg(F.greatest(F.ceil(F.sum("k") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_TEXTS)).cast("int").alias("nb"))
