@@ -5,14 +5,14 @@ to 1, higher being worse, cut into LEVELS levels. For each stratum (language) th
 rows that labels call good form the holdout. A rule's cutoffs are tested from
 the loosest to tighter ones; a cutoff is accepted while the exact binomial
 (Clopper-Pearson) upper bound of the share of good rows that it rejects is at
-most RISK / number of rules. Such a fixed sequence needs no correction within a
-rule; across rules and strata each test runs at DELTA / (rules x strata). So
+most RISK / number of rules; of those accepted, the most useful one is taken.
+Such a fixed sequence needs no correction within a rule; across rules and strata each test runs at DELTA / (rules x strata). So
 with probability 1 - DELTA, no stratum loses more than RISK of its good rows to
 the rules. A stratum whose holdout is too small gets no cutoff.
 
 Results in special cases: null and empty texts have no words and fail the base
 rule; a null language is a stratum; documents labelled more than once count as
-good if all their labels say so; rows of a repeated doc_id each count; labels
+good if all their labels say so, else as bad; rows of a repeated doc_id each count; labels
 without a document are ignored; other columns are ignored.
 """
 
@@ -133,19 +133,23 @@ def risk_bound(rejected: int, n: int, delta: float) -> float:
     return high
 
 
-def choose_cutoff(counts: np.ndarray, risk: float, delta: float) -> int:
-    """The tightest accepted cutoff: rows of a higher level are rejected.
+def choose_cutoff(good: np.ndarray, bad: np.ndarray, risk: float, delta: float) -> int:
+    """The cutoff of a rule: rows of a higher level are rejected.
 
-    counts: good rows at each level from 0 to LEVELS. Without an accepted one it
-    is LEVELS, which rejects nothing.
+    good, bad: labelled rows at each level from 0 to LEVELS. Cutoffs are tested
+    from the loosest on; of those accepted, the one with the most rejected bad
+    less rejected good (as shares) is taken, the loosest if equal, as a looser
+    one bears no more risk. LEVELS rejects nothing.
     """
-    n, cutoff, rejected = int(counts.sum()), LEVELS, 0
+    n, n_bad = int(good.sum()), max(1, int(bad.sum()))
+    cutoff, best, lost, caught = LEVELS, 0.0, 0, 0
     for level in range(LEVELS, 0, -1):
-        rejected += int(counts[level])
+        lost, caught = lost + int(good[level]), caught + int(bad[level])
         # more than this share of rejections cannot pass; so terms stay few
-        if n == 0 or rejected > risk * n or risk_bound(rejected, n, delta) > risk:
+        if n == 0 or lost > risk * n or risk_bound(lost, n, delta) > risk:
             break
-        cutoff = level - 1
+        if caught / n_bad - lost / n > best:
+            cutoff, best = level - 1, caught / n_bad - lost / n
     return cutoff
 
 
@@ -159,12 +163,12 @@ def quality_signals(docs: DataFrame) -> DataFrame:
 
 
 def cutoffs(scored: DataFrame, labels: DataFrame) -> DataFrame:
-    """stratum and, for each rule, cut_<rule>; from rows labelled good."""
+    """stratum and, for each rule, cut_<rule>; from labelled rows that pass the base."""
     names = list(rules())
-    good = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality")).filter("quality = 1").select("doc_id")
-    held = scored.filter(~F.col("base_failed")).join(good, "doc_id").withColumn("stratum", F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")))
+    marks = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality")).filter(F.col("quality").isin(0, 1))
+    held = scored.filter(~F.col("base_failed")).join(marks, "doc_id").withColumn("stratum", F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")))
     pairs = F.explode(F.array(*(F.struct(F.lit(n).alias("rule"), F.col(f"level_{n}").alias("level")) for n in names)))
-    counts = held.select("stratum", pairs.alias("p")).groupBy("stratum", "p.rule", "p.level").agg(F.count("*").alias("n"))
+    counts = held.select("stratum", "quality", pairs.alias("p")).groupBy("stratum", "quality", "p.rule", "p.level").agg(F.count("*").alias("n"))
     strata = counts.agg(F.count_distinct("stratum")).first()[0]
     delta = DELTA / (len(names) * max(1, strata))
 
@@ -172,9 +176,9 @@ def cutoffs(scored: DataFrame, labels: DataFrame) -> DataFrame:
         out = {"stratum": [part["stratum"].iloc[0]]}
         for name in names:
             own = part[part["rule"] == name]
-            found = np.zeros(LEVELS + 1, dtype=np.int64)
-            np.add.at(found, own["level"].to_numpy(), own["n"].to_numpy())
-            out[f"cut_{name}"] = [choose_cutoff(found, RISK / len(names), delta)]
+            found = np.zeros((2, LEVELS + 1), dtype=np.int64)
+            np.add.at(found, (own["quality"].to_numpy(), own["level"].to_numpy()), own["n"].to_numpy())
+            out[f"cut_{name}"] = [choose_cutoff(found[1], found[0], RISK / len(names), delta)]
         return pd.DataFrame(out)
 
     return counts.groupBy("stratum").applyInPandas(choose, "stratum string, " + ", ".join(f"cut_{n} int" for n in names))

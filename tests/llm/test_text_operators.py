@@ -205,12 +205,15 @@ def test_binomial_bound_is_exact():
 
 
 def test_cutoffs_hold_their_risk():
-    counts = np.zeros(quality.LEVELS + 1, dtype=int)
-    counts[[0, 3, 10, 40]] = [5000, 300, 20, 5]
-    cut = quality.choose_cutoff(counts, 0.02, 0.001)
-    assert quality.risk_bound(int(counts[cut + 1 :].sum()), int(counts.sum()), 0.001) <= 0.02
-    assert counts[cut : ].sum() / counts.sum() > 0.01 and cut == 3
-    assert quality.choose_cutoff(np.zeros(quality.LEVELS + 1, dtype=int), 0.02, 0.001) == quality.LEVELS
+    good, bad = np.zeros((2, quality.LEVELS + 1), dtype=int)
+    good[[0, 3, 10, 40]] = [5000, 300, 20, 5]
+    bad[[0, 2, 12, 50]] = [10, 500, 30, 60]
+    cut = quality.choose_cutoff(good, bad, 0.02, 0.001)
+    assert cut == 11  # 2 would catch more, but loses too many good rows; 3 to 10 catch no more
+    assert quality.risk_bound(int(good[cut + 1 :].sum()), int(good.sum()), 0.001) <= 0.02
+    assert quality.choose_cutoff(good, bad, 0.0001, 0.001) == quality.LEVELS
+    assert quality.choose_cutoff(good * 0, bad, 0.02, 0.001) == quality.LEVELS
+    assert quality.choose_cutoff(good, bad * 0, 0.02, 0.001) == quality.LEVELS
 
 
 def test_false_rejections_stay_below_the_risk(spark):
