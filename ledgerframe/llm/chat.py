@@ -7,8 +7,9 @@ one role are merged into a block. A block reads
 
 and texts are escaped (\ to \b, < to \l, # to \h) so that no marker can occur
 in them; roles also have their line feeds escaped. The escape is undone exactly.
-loss_spans holds (start, length) in code points of every assistant text, start
-counted from 1; headers, <next> and </turn> are never under the mask.
+The output also comes as segments, which make up the formatted text in order;
+each is under the loss mask or not. Every assistant text is a segment under it;
+headers, <next> and </turn> never are.
 
 Turns are first collected in chunks of CHUNK_TURNS, so a long conversation is
 sorted in parts before its rows meet in the one row that must hold it.
@@ -50,19 +51,12 @@ def _unescape_role(role: Column) -> Column:
     return unescape(F.replace(role, F.lit("\\n"), F.lit("\n")))
 
 
-def _pieces(turns: Column, at: Column) -> Column:
-    """What stands before turn number at (from 1): a header, or <next>."""
-    turn = F.element_at(turns, at)
-    header = F.concat(F.lit(HEAD), turn["role"], F.lit(":\n"))
-    return (
-        F.when(at == 1, header)
-        .when(F.element_at(turns, F.greatest(at - 1, F.lit(1)))["role"] == turn["role"], F.lit(NEXT))
-        .otherwise(F.concat(F.lit(END), header))
-    )
+def _segment(text: Column, loss: Column) -> Column:
+    return F.struct(text.alias("text"), loss.alias("loss"))
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
-    """conv_id, formatted and loss_spans of every conversation in turns(conv_id, turn, role, text)."""
+    """conv_id, formatted and segments (text, loss) of every conversation in turns(conv_id, turn, role, text)."""
     row = F.struct(
         F.col("turn").cast("long").alias("turn"),
         _escape_role(F.coalesce("role", F.lit(""))).alias("role"),
@@ -83,20 +77,14 @@ def format_chats(turns: DataFrame) -> DataFrame:
             ),
         ),
     )
-    block = F.transform("blocks", lambda b: F.concat(F.lit(HEAD), b["role"], F.lit(":\n"), F.array_join(b["texts"], NEXT), F.lit(END)))
-    # of every turn: what stands before it and its own length, then running places
-    steps = F.transform(t, lambda x, k: F.struct(F.length(_pieces(t, k + 1)).alias("skip"), F.length(x["text"]).alias("n"), (x["role"] == "assistant").alias("loss")))
-    span = "array<struct<start:int,length:int>>"
-    walk = F.aggregate(
-        steps,
-        F.struct(F.lit(1).alias("at"), F.array().cast(span).alias("spans")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["skip"] + x["n"]).alias("at"),
-            F.when(x["loss"], F.concat(acc["spans"], F.array(F.struct((acc["at"] + x["skip"]).alias("start"), x["n"].alias("length"))))).otherwise(acc["spans"]).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
-    return merged.select("conv_id", F.array_join(block, "").alias("formatted"), walk.alias("loss_spans"))
+    never = F.lit(False)
+
+    def segments(b: Column) -> Column:
+        texts = F.flatten(F.transform(b["texts"], lambda x, k: F.when(k == 0, F.array(_segment(x, b["role"] == "assistant"))).otherwise(F.array(_segment(F.lit(NEXT), never), _segment(x, b["role"] == "assistant")))))
+        return F.concat(F.array(_segment(F.concat(F.lit(HEAD), b["role"], F.lit(":\n")), never)), texts, F.array(_segment(F.lit(END), never)))
+
+    cut = merged.select("conv_id", F.flatten(F.transform("blocks", segments)).alias("segments"))
+    return cut.select("conv_id", F.array_join(F.transform("segments", lambda x: x["text"]), "").alias("formatted"), "segments")
 
 
 def parse_chat(formatted: Column) -> Column:
@@ -112,15 +100,15 @@ def parse_chat(formatted: Column) -> Column:
     return F.flatten(F.transform(whole, turns))
 
 
-def loss_text(formatted: Column, spans: Column) -> Column:
+def loss_text(segments: Column) -> Column:
     """All text under the loss mask, unescaped."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substr(formatted, s["start"], s["length"]))), "")
+    return F.array_join(F.transform(F.filter(segments, lambda x: x["loss"]), lambda x: unescape(x["text"])), "")
 
 
 def chat_digest(turns: DataFrame) -> DataFrame:
     """Digests of every conversation, read back from its formatted text."""
     chats = format_chats(turns)
-    read = chats.select("conv_id", "formatted", parse_chat(F.col("formatted")).alias("turns"), loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    read = chats.select("conv_id", "formatted", parse_chat(F.col("formatted")).alias("turns"), loss_text(F.col("segments")).alias("loss"))
     lines = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return read.select(
         F.col("conv_id").cast("long").alias("conv_id"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle
@@ -12,16 +12,17 @@ _MAX_ROUNDS = 60
 _SALTS = 32
 
 
-def with_least(rows: DataFrame, key: str, value: str, at_least: int = 1) -> DataFrame:
-    """rows with m, the smallest value of their key; only keys of at_least rows.
+def with_group(rows: DataFrame, key: str, value: str, figures: dict[str, Column], at_least: int = 1) -> DataFrame:
+    """rows with figures of their key's group added; only keys of at_least rows.
 
-    The join is on key and a salt of the value. Each key's least value has a row
+    The join is on key and a salt of the value. Each key's figures have a row
     for the salts it occurs with, so a key with many rows is split and one with
     few is not multiplied.
     """
     salted = rows.withColumn("salt", F.pmod(F.xxhash64(value), F.lit(_SALTS)).cast("int"))
-    least = salted.groupBy(key).agg(F.min(value).alias("m"), F.count("*").alias("n"), F.collect_set("salt").alias("salts")).filter(F.col("n") >= at_least)
-    return salted.join(least.select(key, "m", F.explode("salts").alias("salt")), [key, "salt"]).drop("salt")
+    groups = salted.groupBy(key).agg(F.count("*").alias("n_rows"), F.collect_set("salt").alias("salts"), *(c.alias(name) for name, c in figures.items()))
+    groups = groups.filter(F.col("n_rows") >= at_least).select(key, *figures, F.explode("salts").alias("salt"))
+    return salted.join(groups, [key, "salt"]).drop("salt")
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -42,9 +43,9 @@ def components(edges: DataFrame) -> DataFrame:
         if not before[0]:
             return edges
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = with_least(both, "a", "b").filter("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
+        large = with_group(both, "a", "b", {"m": F.min("b")}).filter("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
         down = large.filter("a != b").distinct()
-        small = with_least(down, "a", "b")
+        small = with_group(down, "a", "b", {"m": F.min("b")})
         edges = settle(small.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).distinct())
         after = _state(edges)
         if after == before:

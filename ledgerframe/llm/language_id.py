@@ -2,12 +2,12 @@
 
 Texts become normalised TF-IDF vectors of hashed character 1- to 3-grams
 (letters lower-cased, everything else a space). A bounded sample of labelled
-rows (about PER_LANGUAGE a language, by id hash) gives the inverse document
-frequencies and, by spherical k-means, CENTROIDS centroids a language. A text
-gets the language of the centroid of highest cosine, its score. It is rejected
-if that cosine is below REJECT_SHARE of a low quantile of the sample's own
-cosines, for the same language and length; cut copies of the sample stand for
-short texts.
+rows (about PER_LANGUAGE of each of the MAX_LANGUAGES most common languages, by
+id hash) gives the inverse document frequencies and, by spherical k-means,
+CENTROIDS centroids a language. A text gets the language of the centroid of
+highest cosine, its score. It is rejected if that cosine is below REJECT_SHARE
+of a low quantile of the sample's own cosines, for the same language and length;
+cut copies of the sample stand for short texts.
 
 Results in special cases: a null text, or one without a letter, is `und` with
 score 0 and rejected; with nothing to learn from every text is so; rows of null
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import Batches, arrow_map, held_out
 from .words import chunks
 
-PER_LANGUAGE, CENTROIDS, ROUNDS = 300, 4, 10
+PER_LANGUAGE, MAX_LANGUAGES, CENTROIDS, ROUNDS = 300, 200, 4, 10
 DIMENSIONS = 1 << 13
 #: Lengths in characters at which the sample is cut for short texts.
 CUTS = (12, 40, 120, 400)
@@ -162,7 +162,8 @@ def learn(docs: DataFrame) -> LanguageModel:
     """Fits on documents with a language and a letter that are not held out."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
     known = rows.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    common = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    counts = {r["lang"]: r["n"] for r in common.collect()}
     if not counts:
         return fit_centroids([], [], np.zeros(0), np.zeros(0, dtype=bool))
     place = F.shiftrightunsigned(F.xxhash64("doc_id"), 33) / float(1 << 31)
@@ -179,7 +180,7 @@ def learn(docs: DataFrame) -> LanguageModel:
                     columns = (([ids[i]], pa.int64()), ([langs[i]], pa.string()), ([cut is None], pa.bool_()), ([int(n[0])], pa.int64()), ([packed], pa.binary()))
                     yield pa.RecordBatch.from_arrays([pa.array(*c) for c in columns], names=["doc_id", "lang", "whole", "letters", "counts"])
 
-    found = arrow_map(known.filter(place < rate), sampled, "doc_id long, lang string, whole boolean, letters long, counts binary").filter("letters > 0").collect()
+    found = arrow_map(known.filter(place < F.coalesce(rate, F.lit(0.0))), sampled, "doc_id long, lang string, whole boolean, letters long, counts binary").filter("letters > 0").collect()
     found.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, not r["whole"], r["letters"], r["counts"]))
     return fit_centroids([r["lang"] for r in found], [bytes(r["counts"]) for r in found], np.array([r["letters"] for r in found]), np.array([r["whole"] for r in found], dtype=bool))
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, settle
-from .components import components, with_least
+from .components import components, with_group
 from .words import chunks, mix, signed, span_hash, prefix_sums, split_words, window_hash
 
 SHINGLE = 5
@@ -190,14 +190,14 @@ def text_classes(docs: DataFrame) -> DataFrame:
         .agg(F.coalesce(F.min(F.when(F.col("doc") != _NULL_ID, F.col("doc"))), F.lit(_NULL_ID)).alias("doc"), F.count("*").alias("w"), F.first("k").alias("k"), F.first("keys").alias("keys"))
     )
     leaves = reps.select("v", F.explode("keys").alias("key"))
-    star = components(with_least(leaves, "key", "v", at_least=2).select(F.col("v").alias("a"), F.col("m").alias("b")))
+    star = components(with_group(leaves, "key", "v", {"m": F.min("v")}, at_least=2).select(F.col("v").alias("a"), F.col("m").alias("b")))
     members = star.select(F.col("a").alias("v"), F.col("b").alias("comp")).union(star.select(F.col("b").alias("v"), F.col("b").alias("comp")).distinct())
     members = settle(members.join(reps.drop("keys"), "v"))
-    sizes = members.groupBy("comp").agg(F.greatest(F.ceil(F.sum("k") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_TEXTS)).cast("int").alias("nb"))
+    blocks = F.greatest(F.ceil(F.sum("k") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_TEXTS)).cast("int")
     total = members.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
     bins = max(1, -(-total // BLOCK_SHINGLES))
     sets = arrow_map(
-        members.join(sizes, "comp").select("v", "doc", "w", "comp", "nb").join(_texts(docs), ["v", "doc"]).select("v", "w", "comp", "nb", "text"),
+        with_group(members, "comp", "v", {"nb": blocks}).select("v", "doc", "w", "comp", "nb").join(_texts(docs), ["v", "doc"]).select("v", "w", "comp", "nb", "text"),
         _set_rows,
         "v long, w long, comp long, nb int, sets binary",
     )
@@ -223,14 +223,15 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     doc_id that links connect it to), n_links (other rows that it is linked to,
     copies included) and text_id (the smallest doc_id with this very text)."""
     per_text = settle(text_classes(docs))
-    firsts = per_text.groupBy("root").agg(F.min(F.when(F.col("doc") != _NULL_ID, F.col("doc"))).alias("class_id"))
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("v")).join(per_text.join(firsts, "root"), "v")
+    known = per_text.withColumn("known", F.when(F.col("doc") != _NULL_ID, F.col("doc")))
+    classed = with_group(known, "root", "v", {"class_id": F.min("known")})
+    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("v")).join(classed, "v")
     worded = F.col("k") > 0
     return joined.select(
         "doc_id",
         F.when(worded, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
         F.when(worded, F.col("links") + F.col("w") - 1).otherwise(F.lit(0).cast("long")).alias("n_links"),
-        F.when(worded, F.when(F.col("doc") != _NULL_ID, F.col("doc"))).otherwise(F.col("doc_id")).alias("text_id"),
+        F.when(worded, F.col("known")).otherwise(F.col("doc_id")).alias("text_id"),
     )
 
 

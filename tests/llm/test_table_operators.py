@@ -126,7 +126,8 @@ def test_same_role_turns_are_merged(spark):
     rows = [(1, 0, "user", "a"), (1, 1, "user", "b"), (1, 2, "assistant", "c")]
     row = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).first()
     assert row["formatted"] == "### user:\na<next>b</turn>\n### assistant:\nc</turn>\n"
-    assert [row["formatted"][s["start"] - 1 : s["start"] - 1 + s["length"]] for s in row["loss_spans"]] == ["c"]
+    assert "".join(x["text"] for x in row["segments"]) == row["formatted"]
+    assert [x["text"] for x in row["segments"] if x["loss"]] == ["c"]
 
 
 # --- licences
