@@ -114,4 +114,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_mixing": mixing.ORACLE_SQL,
     "op8_ngram_join": LINKS_SQL,
     "op9_chat": chat.ORACLE_SQL,
+    "op10_license_scan": license_scan.oracle_sql(),
 }
