@@ -204,3 +204,12 @@ def test_write_back_reports_rows(spark):
     assert jdbc.write_back(spark, change.modify(data, {"k": F.concat("k", F.lit("2"))}, "v=1"), url, "T") == {"D": 1, "M": 0, "I": 1}
     left = jdbc.read_table(spark, "T", url, "T", ["k"], where='"v" > 0')
     assert sorted(map(tuple, left.data.collect())) == [("a2", 1), ("b", 9), ("c", 9)]
+
+
+def test_options_file(spark, tmp_path):
+    from ledgerframe.sources.options import DEFAULTS, read_options
+
+    (tmp_path / "p.ini").write_text("# comment\nAPPLYINTERVALMS = 500 # ms\nbuddyServers=a:1, b:2,\nother = x=y\nnothing\n")
+    got = read_options(spark, str(tmp_path / "p.ini"))
+    assert got == DEFAULTS | {"applyIntervalMs": 500, "buddyServers": ["a:1", "b:2"], "other": "x=y"}
+    assert read_options(spark) == DEFAULTS
