@@ -2,7 +2,8 @@
 are scaled by naive Bayes log-count ratios.
 
 A text's features are the hashed 3- to 5-grams of its lower-cased characters,
-each counted once. On a bounded sample of labelled rows (SAMPLE_TOXIC and
+each at up to three levels: that the text has it, and that it has it often, by
+LEVELS. On a bounded sample of labelled rows (SAMPLE_TOXIC and
 SAMPLE_CLEAN, smallest id hashes first) each gram gets the log ratio of its
 smoothed rates in toxic and clean texts; a logistic regression is then fitted on
 the features so scaled. Grams seen in fewer than MIN_TEXTS texts, or about as
@@ -33,6 +34,9 @@ SHORTEST, LONGEST, HASH_BITS = 3, 5, 20
 MIN_TEXTS, MIN_RATIO, KEPT_GRAMS = 3, 0.4, 50_000
 STEPS, L2, RATE = 300, 0.3, 0.05
 THRESHOLD = 0.7
+#: A gram is at a level if the text has it so many times, and once in so many characters.
+LEVELS = ((1, None), (2, 1500), (3, 700))
+_GRAMS = 1 << HASH_BITS
 
 
 def _grams(texts: list[str | None]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
@@ -52,21 +56,24 @@ def _grams(texts: list[str | None]) -> tuple[np.ndarray, list[np.ndarray], np.nd
     return bounds, out, ends
 
 
-def _unique_pairs(doc: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    pairs = np.unique((doc << HASH_BITS) | gram)
-    return pairs >> HASH_BITS, pairs & ((1 << HASH_BITS) - 1)
+def text_features(texts: list[str | None], used: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text, feature) pairs, each once, by text; only grams where used, if given.
 
-
-def text_grams(texts: list[str | None], weighted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(text, gram) pairs, each once; only grams where weighted is not 0, if given."""
+    A feature is level * _GRAMS + gram.
+    """
     bounds, by_length, ends = _grams(texts)
-    docs, grams = [], []
+    found = []
     for n, h in enumerate(by_length, start=SHORTEST):
-        at = np.arange(len(h)) if weighted is None else np.flatnonzero(weighted[h])
+        at = np.arange(len(h)) if used is None else np.flatnonzero(used[h])
         at = at[at + n <= ends[at]]
-        docs.append(np.searchsorted(bounds, at, side="right") - 1)
-        grams.append(h[at].astype(np.int64))
-    return _unique_pairs(np.concatenate(docs), np.concatenate(grams))
+        found.append(((np.searchsorted(bounds, at, side="right") - 1) << HASH_BITS) | h[at])
+    pairs, times = np.unique(np.concatenate(found), return_counts=True)
+    doc, gram = pairs >> HASH_BITS, pairs & (_GRAMS - 1)
+    size = np.diff(bounds)[doc]
+    hit = [(times >= least) & (times * (per or 0) >= (size if per else 0)) for least, per in LEVELS]
+    docs = np.concatenate([doc[x] for x in hit])
+    order = np.argsort(docs, kind="stable")
+    return docs[order], np.concatenate([gram[x] + k * _GRAMS for k, x in enumerate(hit)])[order]
 
 
 @dataclass
@@ -76,7 +83,7 @@ class ToxicityModel:
     intercept: float
 
     def table(self) -> np.ndarray:
-        out = np.zeros(1 << HASH_BITS, dtype=np.float32)
+        out = np.zeros(len(LEVELS) * _GRAMS, dtype=np.float32)
         out[self.grams] = self.weights
         return out
 
@@ -86,13 +93,13 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def fit_linear(texts: list[np.ndarray], toxic: np.ndarray, rate: float) -> ToxicityModel:
-    """The classifier from each text's grams (each once) and label, and the rate of toxic rows."""
+    """The classifier from each text's features (each once) and label, and the rate of toxic rows."""
     prior = float(np.log(max(rate, 1e-6) / max(1 - rate, 1e-6)))
     n_toxic, n_clean = int(toxic.sum()), int((1 - toxic).sum())
     none = np.zeros(0, dtype=np.int64)
     if not n_toxic or not n_clean:
         return ToxicityModel(none, none.astype(np.float32), prior if n_toxic or n_clean else -50.0)
-    seen = np.zeros((2, 1 << HASH_BITS))
+    seen = np.zeros((2, len(LEVELS) * _GRAMS), dtype=np.float32)
     for grams, label in zip(texts, toxic, strict=True):
         seen[label, grams] += 1
     ratio = np.log((seen[1] + 1) / (n_toxic + 2)) - np.log((seen[0] + 1) / (n_clean + 2))
@@ -101,7 +108,7 @@ def fit_linear(texts: list[np.ndarray], toxic: np.ndarray, rate: float) -> Toxic
     kept = kept[strength[kept] >= MIN_RATIO]
     if not len(kept):
         return ToxicityModel(kept, none.astype(np.float32), prior)
-    name = np.full(1 << HASH_BITS, -1, dtype=np.int32)
+    name = np.full(len(LEVELS) * _GRAMS, -1, dtype=np.int32)
     name[kept] = np.arange(len(kept))
     columns = [(c := name[grams])[c >= 0] for grams in texts]
     doc = np.repeat(np.arange(len(texts)), [len(c) for c in columns])
@@ -134,7 +141,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts, toxic = batch.column("text").to_pylist(), batch.column("toxic")
         for a, b in chunks(texts):
-            doc, gram = text_grams(texts[a:b])
+            doc, gram = text_features(texts[a:b])
             cuts = np.searchsorted(doc, np.arange(b - a + 1))
             packed = [gram[i:j].astype(np.int32).tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), toxic.slice(a, b - a), pa.array(packed, pa.binary())], names=["doc_id", "toxic", "grams"])
@@ -152,10 +159,11 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def score(batches: Batches) -> Batches:
         table = model.table()
+        used = (table.reshape(len(LEVELS), _GRAMS) != 0).any(axis=0)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for a, b in chunks(texts):
-                doc, gram = text_grams(texts[a:b], table)
+                doc, gram = text_features(texts[a:b], used)
                 found = _sigmoid(np.bincount(doc, weights=table[gram], minlength=b - a) + model.intercept)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("doc_id", "held_out")), pa.array(found, pa.float64())], names=["doc_id", "held_out", "score"])
 
