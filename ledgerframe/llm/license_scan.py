@@ -1,10 +1,13 @@
 """Licence scans: sparse TF-IDF cosine of notices to templates, then inheritance
 from the nearest ancestor directory.
 
-A file's header notices are its lines that hold a licence cue; each becomes a
+A file's header notices are its lines that hold a licence cue, and the blocks from
+the first to the last of such lines no more than BLOCK_GAP apart; each becomes a
 TF-IDF vector of its words and is compared with every template by cosine. A file
-whose whole text is that close to a template is a licence file and speaks for
-its directory. A file without a notice of its own takes the licence of the
+whose whole text, of any length, is that close to a template is a licence file and
+speaks for its directory. Templates are one-line notices, and the full texts and
+standard headers in the folder `licenses`. The latter are weighed among themselves,
+where a word that all of them have weighs nothing. A file without a notice of its own takes the licence of the
 nearest directory above it that has a licence file. Words outside the templates
 count in a vector's length with the weight of an unseen word.
 
@@ -24,6 +27,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import lru_cache
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +37,8 @@ from .common import settle
 
 THRESHOLD = 0.6
 CUE = r"(?i)licen[cs]e|copying|redistribut|warrant|permission is|public domain|spdx"
+#: Lines between two cue lines of one header block, at most, plus one.
+BLOCK_GAP = 10
 _TOKEN = r"[a-z0-9]+(?:\.[0-9]+)*"
 
 #: Short notices that name a licence: the templates.
@@ -47,7 +54,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "MPL-2.0": ("This file is subject to the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0"),
 }
 
-#: Texts longer than this are far from any template as a whole.
+#: Longer texts are compared as a whole by the operator, but not by its SQL twin.
 _LONGEST_FILE = 20 * max(len(text) for texts in TEMPLATES.values() for text in texts)
 
 
@@ -55,34 +62,46 @@ def _words(text: str) -> list[str]:
     return re.findall(_TOKEN, text.lower())
 
 
-def template_vectors(templates: dict[str, tuple[str, ...]] = TEMPLATES) -> tuple[list[tuple[str, int, str, float, float]], float]:
+@lru_cache(maxsize=1)
+def full_texts() -> dict[str, tuple[str, ...]]:
+    """Full licence texts and standard headers, from the files LICENCE[.header].txt."""
+    found: dict[str, tuple[str, ...]] = {}
+    for file in sorted(Path(__file__).with_name("licenses").glob("*.txt")):
+        name = file.name.removesuffix(".txt").removesuffix(".header")
+        found[name] = (*found.get(name, ()), file.read_text(encoding="utf-8"))
+    return found
+
+
+def template_vectors(templates: dict[str, tuple[str, ...]] = TEMPLATES, least: float = 1) -> tuple[list[tuple[str, int, str, float, float]], float]:
     """(licence, template, word, weight in a text, unit weight) rows and the
-    weight of an unseen word."""
+    weight of an unseen word; least is the weight of a word in all templates."""
     notices = [(name, i, Counter(_words(text))) for name, texts in sorted(templates.items()) for i, text in enumerate(texts)]
     seen = Counter(w for _, _, words in notices for w in words)
-    idf = {w: math.log((len(notices) + 1) / (n + 1)) + 1 for w, n in seen.items()}
+    idf = {w: math.log((len(notices) + 1) / (n + 1)) + least for w, n in seen.items()}
     rows = []
     for name, i, words in notices:
         length = math.sqrt(sum((n * idf[w]) ** 2 for w, n in words.items()))
         rows += [(name, i, w, idf[w], n * idf[w] / length) for w, n in sorted(words.items())]
-    return rows, math.log(len(notices) + 1) + 1
+    return rows, math.log(len(notices) + 1) + least
 
 
 def _tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(_TOKEN), F.lit(0))
 
 
-def closest_templates(spark: SparkSession, notices: DataFrame, templates: dict[str, tuple[str, ...]]) -> DataFrame:
+def closest_templates(spark: SparkSession, notices: DataFrame, vectors: list[tuple[list[tuple[str, int, str, float, float]], float]]) -> DataFrame:
     """notices(id, part, words) with the closest licence and its cosine, for
-    those of THRESHOLD or more."""
-    rows, unseen = template_vectors(templates)
-    terms = F.broadcast(spark.createDataFrame(rows, "license string, template int, word string, idf double, unit double"))
-    idf = F.broadcast(spark.createDataFrame(sorted({(w, x) for _, _, w, x, _ in rows}), "word string, idf double"))
+    those of THRESHOLD or more, over all sets of template vectors."""
     counted = notices.select("id", "part", F.explode("words").alias("word")).groupBy("id", "part", "word").agg(F.count("*").alias("n"))
-    weighed = counted.join(idf, "word", "left").withColumn("x", F.col("n") * F.coalesce("idf", F.lit(unseen)))
-    length = weighed.groupBy("id", "part").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"))
-    inner = weighed.select("id", "part", "word", "x").join(terms.drop("idf"), "word").groupBy("id", "part", "license", "template").agg(F.sum(F.col("x") * F.col("unit")).alias("inner"))
-    near = inner.join(length, ["id", "part"]).withColumn("similarity", F.round(F.col("inner") / F.col("length"), 9)).filter(F.col("similarity") >= THRESHOLD)
+    near = None
+    for rows, unseen in vectors:
+        terms = F.broadcast(spark.createDataFrame(rows, "license string, template int, word string, idf double, unit double").filter("unit > 0"))
+        idf = F.broadcast(spark.createDataFrame(sorted({(w, x) for _, _, w, x, _ in rows}), "word string, idf double"))
+        weighed = counted.join(idf, "word", "left").withColumn("x", F.col("n") * F.coalesce("idf", F.lit(unseen)))
+        length = weighed.groupBy("id", "part").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"))
+        inner = weighed.select("id", "part", "word", "x").join(terms.drop("idf"), "word").groupBy("id", "part", "license", "template").agg(F.sum(F.col("x") * F.col("unit")).alias("inner"))
+        found = inner.join(length.filter("length > 0"), ["id", "part"]).withColumn("similarity", F.round(F.col("inner") / F.col("length"), 9)).filter(F.col("similarity") >= THRESHOLD)
+        near = found if near is None else near.union(found)
     best = F.min_by("license", F.struct(-F.col("similarity"), "license"))
     return near.groupBy("id", "part").agg(best.alias("license"), F.max("similarity").alias("similarity"))
 
@@ -93,26 +112,27 @@ def _directories(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(steps) - 1), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(steps, F.lit(1), n), "/").alias("dir")))
 
 
-def scan_licenses(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
+def scan_licenses(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, texts: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """files(path, text, ...) without text, with license, similarity, origin
     ('file', 'header', 'inherited' or 'none') and license_dir (where an inherited
-    one is from); these four replace columns of their names."""
+    one is from); these four replace columns of their names.
+    texts are full texts and headers of licences, full_texts() if not given."""
     spark = files.sparkSession
     # texts with a cue, once per distinct (path, text); whole rows never travel
     keyed = files.withColumns({"__lf_id": F.xxhash64("path", "text")})
     cued = keyed.filter(F.col("text").rlike(CUE)).select(F.col("__lf_id").alias("id"), "path", "text").dropDuplicates(["id"])
-    cued = settle(
-        cued.select(
-            "id",
-            "path",
-            F.filter(F.split("text", "\n"), lambda line: line.rlike(CUE)).alias("lines"),
-            # a text far longer than any template cannot be close to one
-            F.when(F.length("text") <= 20 * max(len(t) for ts in templates.values() for t in ts), _tokens(F.col("text"))).alias("words"),
-        )
-    )
-    headers = cued.select("id", F.posexplode(F.transform("lines", _tokens)).alias("part", "words"))
-    wholes = cued.filter("words is not null").select("id", F.lit(-1).alias("part"), "words")
-    found = closest_templates(spark, headers.union(wholes), templates)
+    at = F.filter(F.transform(F.split("text", "\n"), lambda line, i: F.when(line.rlike(CUE), i)), lambda i: i.isNotNull())
+    cued = settle(cued.select("id", "path", F.split("text", "\n").alias("lines"), at.alias("at")))
+    headers = cued.select("id", F.posexplode(F.transform("at", lambda i: _tokens(F.get("lines", i)))).alias("part", "words"))
+    wholes = cued.select("id", F.lit(-1).alias("part"), _tokens(F.array_join("lines", "\n")).alias("words"))
+    # a block starts at a cue line far below the one before it, and ends at one far above the next
+    starts = F.filter("at", lambda x, i: (i == 0) | (x - F.get("at", i - 1) > BLOCK_GAP))
+    ends = F.filter("at", lambda x, i: (i == F.size("at") - 1) | (F.get("at", i + 1) - x > BLOCK_GAP))
+    bounds = cued.select("id", "lines", F.posexplode(F.arrays_zip(starts.alias("a"), ends.alias("b"))).alias("n", "block")).filter("block.b > block.a")
+    block = F.slice("lines", F.col("block.a") + 1, F.col("block.b") - F.col("block.a") + 1)
+    blocks = bounds.select("id", (-2 - F.col("n")).alias("part"), _tokens(F.array_join(block, "\n")).alias("words"))
+    vectors = [template_vectors(templates), template_vectors(full_texts() if texts is None else texts, 0)]
+    found = closest_templates(spark, headers.union(wholes).union(blocks), vectors)
     ranked = F.struct((F.col("part") == -1).alias("whole"), "similarity", (-F.col("part")).alias("early"))
     own = settle(found.groupBy("id").agg(F.max_by(F.struct("license", "similarity", (F.col("part") == -1).alias("whole")), ranked).alias("own")))
     is_file = own.filter("own.whole").join(cued.select("id", "path"), "id").filter("path is not null")

@@ -201,6 +201,22 @@ def test_scan_in_special_cases(spark):
     assert license_scan.scan_licenses(df.limit(0)).count() == 0
 
 
+def test_full_texts_and_header_blocks_are_licences(spark):
+    texts = license_scan.full_texts()
+    full = {name: max(found, key=len) for name, found in texts.items()}
+    rows = [(f"{name}/LICENSE", text) for name, text in full.items()] + [(f"{name}/src/x.py", "x = 1") for name in full]
+    header = "".join(f" * {line}\n" for line in texts["Apache-2.0"][0].split("\n"))
+    code = "\n".join(f"value{i} = compute{i}(other{i})" for i in range(400))
+    rows += [("n/NOTICE", "Released under the MIT License.\n" * 70), ("n/y", "y"), ("o/a.c", f"/*\n{header} */\n{code}"), ("o/b.c", code + "\n# no licence at all")]
+    got = {r["path"]: r for r in license_scan.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
+    for name in full:
+        assert (got[f"{name}/LICENSE"]["license"], got[f"{name}/LICENSE"]["origin"]) == (name, "file")
+        assert (got[f"{name}/src/x.py"]["license"], got[f"{name}/src/x.py"]["license_dir"]) == (name, name)
+    assert (got["n/NOTICE"]["license"], got["n/NOTICE"]["origin"], got["n/y"]["origin"]) == ("MIT", "file", "inherited")
+    assert (got["o/a.c"]["license"], got["o/a.c"]["origin"], got["o/b.c"]["origin"]) == ("Apache-2.0", "header", "none")
+    assert got["o/a.c"]["similarity"] > 0.9
+
+
 # --- pipeline
 
 
