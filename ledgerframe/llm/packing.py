@@ -7,8 +7,9 @@ capacities. Pieces are dealt at random (by hash) over groups of about
 GROUP_PIECES, each packed by one task: the number of groups follows the data,
 and with thousands of windows to choose from a group loses next to nothing.
 
-Token ids are those of the tokenizers library. Texts that Latin-1 can express
-take a faster path with the same vocabulary and pattern, whose ids are equal
+Token ids are those of the tokenizers library as it loads the vocabulary, so an
+added token written out in a text, as <|endoftext|>, becomes that token. Texts that
+Latin-1 can express and that hold no added token take a faster path with the same vocabulary and pattern, whose ids are equal
 (tested); all others go to the library itself.
 
 Results in special cases: a null or empty text is END_ID alone; rows of a
@@ -39,9 +40,12 @@ def _tokenizer(path: str | None):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@lru_cache(maxsize=2)
+def _added_tokens(path: str | None) -> tuple[str, ...]:
+    return tuple(t.content for t in _tokenizer(path).get_added_tokens_decoder().values())
 
 
 @lru_cache(maxsize=2)
@@ -66,7 +70,7 @@ def encode(text: str | None, tokenizer: str | None = None, ranks: str | None = N
     """Token ids of a whole text, as the tokenizers library gives them."""
     if not text:
         return []
-    if _is_latin(text):
+    if _is_latin(text) and not any(t in text for t in _added_tokens(tokenizer)):
         return _latin_encoding(ranks).encode_ordinary(text)
     return _tokenizer(tokenizer).encode(text, add_special_tokens=False).ids
 

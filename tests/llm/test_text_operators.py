@@ -273,6 +273,15 @@ def test_ids_equal_the_library(text):
     assert packing.encode(text) == packing._tokenizer(None).encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["end of a<|endoftext|>next text", "<|endoftext|>", "日本語<|endoftext|> text", "a <|endoftext|><|endoftext|>\n b", "<|endoftext |> no token"])
+def test_added_tokens_equal_a_fresh_library(text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert packing.encode(text) == fresh.encode(text, add_special_tokens=False).ids
+
+
 # --- classifiers
 
 
