@@ -145,6 +145,37 @@ _join("join_select", _CO, _ON[0], "ON", _ON[1], (None, 'o_orderstatus="P"'), ("t
 _join("join_ordinals", ("nation", "region"), "2=0", "ON", "l_n_regionkey = r_r_regionkey")
 
 
+#: Whole tables with nulls for joins without criteria on a side. One customer's key is
+#: null, so that null orders meet one row each and the join stays in proportion to them.
+_NATION_NULLS_SQL = "(SELECT n_nationkey, n_name, CASE WHEN n_nationkey % 5 <> 0 THEN n_regionkey END AS n_regionkey FROM nation)"
+_REGION_NULLS_SQL = "(SELECT nullif(r_regionkey, 0) AS r_regionkey, r_name FROM region)"
+_CUSTOMER_NULLS_SQL = "(SELECT nullif(c_custkey, 1) AS c_custkey, c_name FROM customer)"
+
+
+def _join_whole_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation, region = keyed(spark, sf_dir, "nation").data, keyed(spark, sf_dir, "region").data
+    left = nation.select("n_nationkey", "n_name", F.when(F.col("n_nationkey") % 5 != 0, F.col("n_regionkey")).alias("n_regionkey"))
+    right = region.select(F.when(F.col("r_regionkey") != 0, F.col("r_regionkey")).alias("r_regionkey"), "r_name")
+    return join(dataset("nation", left, ["n_nationkey"], check=False), dataset("region", right, ["r_name"], check=False), "n_regionkey!=r_regionkey")
+
+
+def _join_whole_null_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customer = keyed(spark, sf_dir, "customer").data.select(F.when(F.col("c_custkey") != 1, F.col("c_custkey")).alias("c_custkey"), "c_name")
+    return join(orders_nulls(spark, sf_dir), dataset("customer", customer, ["c_name"], check=False), "o_custkey=c_custkey")
+
+
+_add(
+    "join_theta_ne_null_whole",
+    _join_whole_theta,
+    f"SELECT a.n_nationkey AS l_n_nationkey, a.n_name AS l_n_name, a.n_regionkey AS l_n_regionkey, b.r_regionkey AS r_r_regionkey, b.r_name AS r_r_name FROM {_NATION_NULLS_SQL} a JOIN {_REGION_NULLS_SQL} b ON a.n_regionkey <> b.r_regionkey OR (a.n_regionkey IS NULL AND b.r_regionkey IS NULL)",
+)
+_add(
+    "join_null_safe_whole",
+    _join_whole_null_safe,
+    f"SELECT a.o_orderkey AS l_o_orderkey, a.o_custkey AS l_o_custkey, a.o_orderpriority AS l_o_orderpriority, a.o_totalprice AS l_o_totalprice, b.c_custkey AS r_c_custkey, b.c_name AS r_c_name FROM {_NULLS_SQL} a JOIN {_CUSTOMER_NULLS_SQL} b ON a.o_custkey IS NOT DISTINCT FROM b.c_custkey",
+)
+
+
 def _new_nations(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(n).select((F.col("id") + 100).cast("int").alias("n_nationkey"), F.concat(F.lit("NEW"), F.col("id").cast("string")).alias("N_NAME"))
 

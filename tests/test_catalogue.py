@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerframe.plans import catalogue
 
@@ -26,3 +27,15 @@ def test_null_safe_join_is_no_nested_loop(spark, sf_dir, capsys):
     catalogue.QUERIES["join_null_safe"](spark, sf_dir).explain()
     plan = capsys.readouterr().out
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_null_joins_read_whole_tables(spark, sf_dir, capsys):
+    read = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("nation", "orders")}
+    theta = catalogue.QUERIES["join_theta_ne_null_whole"](spark, sf_dir)
+    assert theta.select("l_n_nationkey").distinct().count() == read["nation"].count()
+    assert theta.filter("l_n_regionkey IS NULL AND r_r_regionkey IS NULL").count() > 0
+    safe = catalogue.QUERIES["join_null_safe_whole"](spark, sf_dir)
+    whole = read["orders"].filter("o_orderkey % 7 = 0 OR o_custkey <> 1").join(spark.read.parquet(f"{sf_dir}/customer.parquet"), (F.col("o_orderkey") % 7 == 0) | (F.col("o_custkey") == F.col("c_custkey")), "left_semi")
+    assert safe.select("l_o_orderkey").distinct().count() == whole.count()
+    safe.explain()
+    assert "NestedLoop" not in capsys.readouterr().out
