@@ -2,9 +2,11 @@
 
 Texts become normalised TF-IDF vectors of hashed character 1- to 3-grams
 (letters lower-cased, everything else a space). A bounded sample of labelled
-rows (about PER_LANGUAGE of each of the MAX_LANGUAGES most common languages, by
-id hash) gives the inverse document frequencies and, by spherical k-means,
-CENTROIDS centroids a language. A text gets the language of the centroid of
+rows (PER_LANGUAGE of every language at most, by a hash of id and text, repeated
+rows once) gives the inverse document frequencies and, by spherical k-means,
+CENTROIDS centroids a language. Languages are fitted each by itself, distributed;
+the driver and the workers hold the centroids of BLOCK_LANGUAGES at once, and more
+languages take more passes, of which the best cosine counts. A text gets the language of the centroid of
 highest cosine, its score. It is rejected if that cosine is below REJECT_SHARE
 of a low quantile of the sample's own cosines, for the same language and length;
 cut copies of the sample stand for short texts.
@@ -21,15 +23,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Batches, arrow_map, held_out
+from .common import Batches, arrow_map, held_out, settle
 from .words import chunks
 
-PER_LANGUAGE, MAX_LANGUAGES, CENTROIDS, ROUNDS = 300, 200, 4, 10
+PER_LANGUAGE, BLOCK_LANGUAGES, CENTROIDS, ROUNDS = 300, 200, 4, 10
 DIMENSIONS = 1 << 13
 #: Lengths in characters at which the sample is cut for short texts.
 CUTS = (12, 40, 120, 400)
@@ -38,6 +40,8 @@ _BUCKETS = 12
 #: Texts whose dense vectors a worker holds at once.
 _DENSE_TEXTS = 128
 UNKNOWN = "und"
+#: Columns of a judgement while it is made.
+_JUDGED = ("__lf_lang", "__lf_score", "__lf_rejected")
 
 _LOWER_LETTER = np.array([ord(c.lower()) if (c := chr(i)).isalpha() and len(c.lower()) == 1 else ord(c) if c.isalpha() else 0 for i in range(0x3000)], dtype=np.uint32)
 
@@ -79,25 +83,28 @@ def _bucket(n_letters: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(np.maximum(n_letters, 1)).astype(int), _BUCKETS - 1)
 
 
+def _vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    x = np.log1p(counts, dtype=np.float32)
+    x *= idf
+    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x))[:, None], 1e-9)
+    return x
+
+
 @dataclass
 class LanguageModel:
+    """A block of languages."""
+
     languages: list[str]
     idf: np.ndarray
     centroids: np.ndarray
     of: np.ndarray
     least: np.ndarray
 
-    def vectors(self, counts: np.ndarray) -> np.ndarray:
-        x = np.log1p(counts, dtype=np.float32)
-        x *= self.idf
-        x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x))[:, None], 1e-9)
-        return x
-
     def judge(self, counts: np.ndarray, n_letters: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and whether it is rejected, for every text."""
         if not self.languages:
             return [UNKNOWN] * len(counts), np.zeros(len(counts)), np.ones(len(counts), dtype=bool)
-        cosine = self.vectors(counts) @ self.centroids.T
+        cosine = _vectors(counts, self.idf) @ self.centroids.T
         best = cosine.argmax(axis=1)
         bare = n_letters == 0
         score = np.where(bare, 0, np.clip(cosine[np.arange(len(best)), best], 0, 1)).astype(float)
@@ -130,47 +137,57 @@ def _dense(packed: list[bytes]) -> np.ndarray:
     return out
 
 
-def fit_centroids(languages: list[str], packed: list[bytes], n_letters: np.ndarray, whole: np.ndarray) -> LanguageModel:
-    """The model from packed gram counts of texts; those not whole only set rejection."""
-    names = sorted({n for n, w in zip(languages, whole, strict=True) if w}, key=lambda s: s.encode())
-    model = LanguageModel(names, np.zeros(DIMENSIONS, dtype=np.float32), np.zeros((0, DIMENSIONS), dtype=np.float32), np.zeros(0, dtype=int), np.zeros((len(names), _BUCKETS)))
-    if not names:
-        return model
-    rows = [np.array([i for i, x in enumerate(languages) if x == n]) for n in names]
-    seen = np.zeros(DIMENSIONS)
-    for own in rows:  # language by language, so that few rows are dense at once
-        seen += (_dense([packed[i] for i in own if whole[i]]) > 0).sum(axis=0)
-    model.idf = np.log((whole.sum() + 1) / (seen + 1)).astype(np.float32) + 1
-    parts = []
+@dataclass
+class Learned:
+    """All languages in order, and their centroids as a table."""
+
+    languages: list[str]
+    idf: np.ndarray
+    fitted: DataFrame | None
+
+    def blocks(self) -> Iterator[LanguageModel]:
+        """Models of BLOCK_LANGUAGES languages at most, one at least."""
+        for a in range(0, max(1, len(self.languages)), BLOCK_LANGUAGES):
+            names = self.languages[a : a + BLOCK_LANGUAGES]
+            found = {} if not names else {r["lang"]: r for r in self.fitted.filter(F.col("lang").between(names[0], names[-1])).collect()}
+            parts = [np.frombuffer(found[n]["centroids"], dtype=np.float32).reshape(-1, DIMENSIONS) for n in names]
+            centroids = np.concatenate(parts) if parts else np.zeros((0, DIMENSIONS), dtype=np.float32)
+            least = np.array([found[n]["least"] for n in names]).reshape(-1, _BUCKETS)
+            yield LanguageModel(names, self.idf, centroids, np.repeat(np.arange(len(names)), [len(p) for p in parts]), least)
+
+
+def fit_language(packed: list[bytes], n_letters: np.ndarray, whole: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Centroids of one language, and its least cosines by length, from packed
+    gram counts of texts; those not whole only set rejection."""
+    centroids = _k_means(_vectors(_dense([p for p, w in zip(packed, whole, strict=True) if w]), idf), CENTROIDS)
     bucket = _bucket(n_letters)
-    for k, own in enumerate(rows):
-        parts.append(_k_means(model.vectors(_dense([packed[i] for i in own if whole[i]])), CENTROIDS))
-        cosine = np.concatenate([(model.vectors(_dense([packed[i] for i in own[a : a + 200]])) @ parts[k].T).max(axis=1) for a in range(0, len(own), 200)])
-        found = np.full(_BUCKETS, np.nan)
-        for b in range(_BUCKETS):
-            if (of_length := cosine[bucket[own] == b]).size:
-                found[b] = np.quantile(of_length, REJECT_QUANTILE) * REJECT_SHARE
-        have = np.flatnonzero(~np.isnan(found))
-        # lengths that the sample lacks go by the next shorter one, or are not rejected
-        model.least[k] = [found[have[have <= b][-1]] if (have <= b).any() else 0.0 for b in range(_BUCKETS)]
-    model.centroids = np.concatenate(parts)
-    model.of = np.repeat(np.arange(len(names)), [len(p) for p in parts])
-    return model
-
-
-def learn(docs: DataFrame) -> LanguageModel:
+    cosine = np.concatenate([(_vectors(_dense(packed[a : a + 200]), idf) @ centroids.T).max(axis=1) for a in range(0, len(packed), 200)])
+    found = np.full(_BUCKETS, np.nan)
+    for b in range(_BUCKETS):
+        if (of_length := cosine[bucket == b]).size:
+            found[b] = np.quantile(of_length, REJECT_QUANTILE) * REJECT_SHARE
+    have = np.flatnonzero(~np.isnan(found))
+    # lengths that the sample lacks go by the next shorter one, or are not rejected
+    return centroids, np.array([found[have[have <= b][-1]] if (have <= b).any() else 0.0 for b in range(_BUCKETS)])
+
+
+def sample(known: DataFrame) -> DataFrame:
+    """PER_LANGUAGE different rows (doc_id, text) of every lang at most, each once.
+
+    Hashes are ranked without the texts, by partition first; then the texts follow.
+    """
+    hashed = known.withColumn("h", F.xxhash64("doc_id", "text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = hashed.groupBy("lang", "h").agg(F.count("*").alias("n")).withColumn("place", place).filter(F.col("place") <= PER_LANGUAGE).select("lang", "h")
+    return hashed.join(chosen, ["lang", "h"]).dropDuplicates(["lang", "h"])
+
+
+def learn(docs: DataFrame) -> Learned:
     """Fits on documents with a language and a letter that are not held out."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
     known = rows.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    common = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
-    counts = {r["lang"]: r["n"] for r in common.collect()}
-    if not counts:
-        return fit_centroids([], [], np.zeros(0), np.zeros(0, dtype=bool))
-    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 33) / float(1 << 31)
-    rate = F.element_at(F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, PER_LANGUAGE / n)))), F.col("lang"))
-
     def sampled(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids, langs, texts = (batch.column(c).to_pylist() for c in ("doc_id", "lang", "text"))
+        ids, langs, texts = (batch.column(c).to_pylist() for c in ("h", "lang", "text"))
         for i, text in enumerate(texts):
             for cut in (None, *CUTS):
                 if text and (cut is None or len(text) > cut):
@@ -178,39 +195,69 @@ def learn(docs: DataFrame) -> LanguageModel:
                     slots = np.flatnonzero(found[0])
                     packed = np.concatenate([slots, found[0][slots]]).astype(np.int32).tobytes()
                     columns = (([ids[i]], pa.int64()), ([langs[i]], pa.string()), ([cut is None], pa.bool_()), ([int(n[0])], pa.int64()), ([packed], pa.binary()))
-                    yield pa.RecordBatch.from_arrays([pa.array(*c) for c in columns], names=["doc_id", "lang", "whole", "letters", "counts"])
+                    yield pa.RecordBatch.from_arrays([pa.array(*c) for c in columns], names=["h", "lang", "whole", "letters", "counts"])
+
+    grams = settle(arrow_map(sample(known).select("h", "lang", "text"), sampled, "h long, lang string, whole boolean, letters long, counts binary").filter("letters > 0"))
+    languages = [r["lang"] for r in grams.filter("whole").select("lang").distinct().orderBy("lang").collect()]
+
+    def slots(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(DIMENSIONS, dtype=np.int64)
+        for p in batch.column("counts").to_pylist():
+            seen[np.frombuffer(p, dtype=np.int32).reshape(2, -1)[0]] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(range(DIMENSIONS), pa.int32()), pa.array(seen)], names=["slot", "n"])
+
+    wholes = grams.filter("whole")
+    seen = np.zeros(DIMENSIONS)
+    for r in arrow_map(wholes.select("counts"), slots, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
+        seen[r["slot"]] = r["n"]
+    idf = np.log((wholes.count() + 1) / (seen + 1)).astype(np.float32) + 1
 
-    found = arrow_map(known.filter(place < F.coalesce(rate, F.lit(0.0))), sampled, "doc_id long, lang string, whole boolean, letters long, counts binary").filter("letters > 0").collect()
-    found.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, not r["whole"], r["letters"], r["counts"]))
-    return fit_centroids([r["lang"] for r in found], [bytes(r["counts"]) for r in found], np.array([r["letters"] for r in found]), np.array([r["whole"] for r in found], dtype=bool))
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["h", "whole", "letters", "counts"], ascending=[True, False, True, True])
+        whole = rows["whole"].to_numpy(dtype=bool)
+        if not whole.any():
+            return pd.DataFrame({"lang": [], "centroids": [], "least": []})
+        centroids, least = fit_language([bytes(p) for p in rows["counts"]], rows["letters"].to_numpy(), whole, idf)
+        return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "centroids": [centroids.astype(np.float32).tobytes()], "least": [least.tolist()]})
 
+    fitted = settle(grams.groupBy("lang").applyInPandas(fit, "lang string, centroids binary, least array<double>")) if languages else None
+    return Learned(languages, idf, fitted)
 
-def _judged(model: LanguageModel, columns: list[str]):
+
+def _judge(model: LanguageModel, columns: list[str], again: bool):
     def run(batches: Batches) -> Batches:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for a, b in chunks(texts, most=_DENSE_TEXTS):
                 language, score, rejected = model.judge(*term_counts(texts[a:b]))
+                if again:
+                    old = [batch.column(c).slice(a, b - a).to_pylist() for c in _JUDGED]
+                    best = [new if new[1] > was[1] else was for new, was in zip(zip(language, score.tolist(), rejected.tolist(), strict=True), zip(*old, strict=True), strict=True)]
+                    language, score, rejected = zip(*best, strict=True)
                 arrays = [batch.column(c).slice(a, b - a) for c in columns]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(language, pa.string()), pa.array(score, pa.float64()), pa.array(rejected)], names=[*columns, "lang_pred", "score", "rejected"])
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(language, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=[*columns, *_JUDGED])
 
     return run
 
 
-def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
+def _judged(docs: DataFrame, model: Learned, kept: list[str]) -> DataFrame:
+    """The kept columns of docs with _JUDGED, by one pass for every block of languages."""
+    last = max(1, -(-len(model.languages) // BLOCK_LANGUAGES)) - 1
+    for k, block in enumerate(model.blocks()):
+        columns = kept if k == last else list(dict.fromkeys([*kept, "text"]))
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in map(docs.schema.__getitem__, columns))
+        docs = docs.mapInArrow(_judge(block, columns, k > 0), f"{schema}, {_JUDGED[0]} string, {_JUDGED[1]} double, {_JUDGED[2]} boolean")
+        if k < last:
+            docs = settle(docs)
+    return docs
+
+
+def predict(docs: DataFrame, model: Learned) -> DataFrame:
     """doc_id, held_out, lang_pred, score and rejected of every row of docs(doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInArrow(_judged(model, ["doc_id", "held_out"]), "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    return _judged(rows, model, ["doc_id", "held_out"]).withColumnsRenamed(dict(zip(_JUDGED, ("lang_pred", "score", "rejected"), strict=True)))
 
 
-def drop_rejected(docs: DataFrame, model: LanguageModel) -> DataFrame:
+def drop_rejected(docs: DataFrame, model: Learned) -> DataFrame:
     """docs without the rows whose language is rejected."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    judged = _judged(model, docs.columns)
-
-    def run(batches: Batches) -> Batches:
-        for batch in judged(batches):
-            keep = pa.compute.invert(batch.column(batch.num_columns - 1))
-            yield batch.select(range(batch.num_columns - 3)).filter(keep)
-
-    return docs.mapInArrow(run, schema)
+    return _judged(docs, model, docs.columns).filter(~F.col(_JUDGED[2])).drop(*_JUDGED)

@@ -332,3 +332,17 @@ def test_languages_in_special_cases(edges, clashing, no_docs, documents):
 def test_noise_is_rejected(spark, documents):
     noise = spark.createDataFrame([(1, "ξψωζ πρτ χψω " * 40), (2, "жщъ ыьэ юяю " * 40)], "doc_id long, text string")
     assert all(r["rejected"] for r in language_id.predict(noise, language_id.learn(documents)).collect())
+
+
+def test_every_language_is_learned_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "BLOCK_LANGUAGES", 64)
+    alphabets = [[chr(0x4E00 + 40 * k + j) for j in range(40)] for k in range(230)]
+    rows = [(12 * k + i, f"l{k:03}", "".join(a[(i * 7 + j * j) % 40] for j in range(60))) for k, a in enumerate(alphabets) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = language_id.learn(docs)
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(docs, model).collect()}
+    assert len(model.languages) == 230
+    assert sum(got[i] == lang for i, lang, _ in rows) > 0.97 * len(rows) and set(got.values()) == set(model.languages)
+    monkeypatch.setattr(language_id, "BLOCK_LANGUAGES", 1000)
+    assert got == {r["doc_id"]: r["lang_pred"] for r in language_id.predict(docs, model).collect()}
+    assert language_id.drop_rejected(docs, model).columns == docs.columns
