@@ -4,7 +4,7 @@ are scaled by naive Bayes log-count ratios.
 A text's features are the hashed 3- to 5-grams of its lower-cased characters,
 each at up to three levels: that the text has it, and that it has it often, by
 LEVELS. On a bounded sample of labelled rows (SAMPLE_TOXIC and
-SAMPLE_CLEAN, smallest id hashes first) each gram gets the log ratio of its
+SAMPLE_CLEAN, smallest id hashes first; equal rows once) each gram gets the log ratio of its
 smoothed rates in toxic and clean texts; a logistic regression is then fitted on
 the features so scaled. Grams seen in fewer than MIN_TEXTS texts, or about as
 often in either class, have no weight. The intercept is set to the rate of toxic
@@ -147,8 +147,12 @@ def learn(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
             packed = [gram[i:j].astype(np.int32).tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), toxic.slice(a, b - a), pa.array(packed, pa.binary())], names=["doc_id", "toxic", "grams"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")  # SAMPLE_* rows at most
-    found = sorted(arrow_map(texts, rows, "doc_id long, toxic int, grams binary").collect(), key=lambda r: (r["doc_id"], len(r["grams"])))
+    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").withColumn("h", F.xxhash64("doc_id", "text"))
+    # a repeated id brings many rows: equal ones count once, and of others no more than the sample's size
+    different = hashed.groupBy("toxic", "doc_id", "h").agg(F.count("*").alias("n")).select("toxic", "doc_id", "h")
+    kept = different.filter("toxic = 1").orderBy("h", "doc_id").limit(SAMPLE_TOXIC).union(different.filter("toxic = 0").orderBy("h", "doc_id").limit(SAMPLE_CLEAN))
+    texts = hashed.join(F.broadcast(kept), ["toxic", "doc_id", "h"]).dropDuplicates(["toxic", "doc_id", "h"]).select("doc_id", "toxic", "text")
+    found = sorted(arrow_map(texts, rows, "doc_id long, toxic int, grams binary").collect(), key=lambda r: (r["doc_id"], len(r["grams"]), bytes(r["grams"])))
     grams = [np.frombuffer(r["grams"], dtype=np.int32) for r in found]
     toxic = np.array([r["toxic"] for r in found], dtype=np.int64)
     rate = counts.get(1, 0) / max(1, sum(counts.values()))

@@ -346,3 +346,19 @@ def test_every_language_is_learned_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(language_id, "BLOCK_LANGUAGES", 1000)
     assert got == {r["doc_id"]: r["lang_pred"] for r in language_id.predict(docs, model).collect()}
     assert language_id.drop_rejected(docs, model).columns == docs.columns
+
+
+def test_samples_are_bounded_with_null_and_repeated_ids(spark):
+    rows = [(None, "en", prose(i, 20)) for i in range(900)] + [(4, "de", prose(i, 20)) for i in range(900)] + [(4, "fr", prose(1, 20))] * 900
+    known = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = Counter(r["lang"] for r in language_id.sample(known).collect())
+    assert got == {"en": language_id.PER_LANGUAGE, "de": language_id.PER_LANGUAGE, "fr": 1}
+
+
+def test_toxicity_sample_is_bounded_with_repeated_ids(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(toxicity, "fit_linear", lambda grams, toxic, rate: sizes.append(Counter(toxic.tolist())))
+    monkeypatch.setattr(toxicity, "SAMPLE_CLEAN", 50)
+    docs = spark.createDataFrame([(0, prose(i, 9)) for i in range(400)] + [(1, prose(1, 9))] * 400, "doc_id long, text string")
+    toxicity.learn(docs, spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, toxic int"))
+    assert sizes == [{0: 50, 1: 1}]
