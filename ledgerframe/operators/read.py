@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..dataset import Dataset
 from ..functions.criteria import criteria_filter
+from ..lineage import cut
 
 
 def get(data: Dataset, criteria: str | None = None, select: list[str] | None = None) -> DataFrame:
@@ -36,20 +37,26 @@ def in_key_order(data: Dataset) -> DataFrame:
     return data.data.orderBy(*(F.col(f"`{k}`").asc_nulls_first() for k in data.keys))
 
 
-def fetch_batches(data: Dataset, size: int = 1000) -> DataFrame:
-    """All rows with the batch (from 0) that a fetch in key order brings them in.
+def fetch_batches(data: Dataset, size: int = 1000, select: list[str] | None = None) -> DataFrame:
+    """All rows (or the named columns) with the batch, from 0, that a fetch in key
+    order brings them in.
 
-    Rows are range-partitioned by key and numbered within partitions; partition
-    counts, of which there are few, are summed up before.
+    One range shuffle sorts the rows by key, null keys first, and they are spooled
+    to the shared folder as a cursor over one snapshot would be. Only then are they
+    numbered, by place within their now fixed partition and the number of rows in
+    those before it, so no second sampling of ranges can disagree with the first.
     """
-    keys = [F.col(f"`{k}`") for k in data.keys]
-    parts = data.data.repartitionByRange(*keys).withColumn("__part", F.spark_partition_id())
+    keys = [F.col(f"`{k}`").asc_nulls_first() for k in data.keys]
+    named = data.data.columns if select is None else [data.column(c) for c in select]
+    kept = list(dict.fromkeys([*named, *data.keys]))
+    spooled = cut(data.data.select(*(F.col(f"`{c}`") for c in kept)).repartitionByRange(*keys).sortWithinPartitions(*keys))
+    place = F.monotonically_increasing_id()  # partition, then 33 bits of place in it
+    parts = spooled.withColumns({"__part": F.shiftright(place, 33), "__place": place.bitwiseAND(F.lit((1 << 33) - 1))})
     starts = parts.groupBy("__part").agg(F.count("*").alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = starts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    number = F.row_number().over(Window.partitionBy("__part").orderBy(*keys)) - 1
     numbered = parts.join(F.broadcast(starts), "__part")  # a row per partition
-    return numbered.withColumn("batch", F.floor((F.col("__before") + number) / size)).drop("__part", "__before")
+    return numbered.select(*(F.col(f"`{c}`") for c in named), F.floor((F.col("__before") + F.col("__place")) / size).alias("batch"))
 
 
 def entry_count(data: Dataset) -> DataFrame:

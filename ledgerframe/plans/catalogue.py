@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..console import Console
 from ..dataset import Dataset, dataset
+from ..lineage import new_folder
 from ..operators import change, index, read
 from ..operators.join import join
 from ..session import Session
@@ -135,7 +135,6 @@ for _name, _mode in (("join_inner", "ON"), ("join_left", "LEFTON"), ("join_right
 _join("join_prefilter_outer", _CO, _ON[0], "LEFTON", _ON[1], (None, 'o_orderpriority="1-URGENT" and o_totalprice>300000'), ("true", "o_orderpriority = '1-URGENT' AND o_totalprice > 300000"))
 _join("join_null_safe", ("orders", "orders"), "o_custkey=o_custkey and o_orderpriority=o_orderpriority", "ON", "l_o_custkey IS NOT DISTINCT FROM r_o_custkey AND l_o_orderpriority IS NOT DISTINCT FROM r_o_orderpriority", ('o_totalprice>"280000"', 'o_totalprice>"280000"'), ("o_totalprice > 280000",) * 2, sources=(orders_nulls, orders_nulls))
 _join("join_theta_lt", ("nation", "region"), "n_regionkey<r_regionkey", "ON", "l_n_regionkey < r_r_regionkey")
-_join("join_theta_ne_null", ("orders", "orders"), "o_custkey!=o_custkey", "ON", "l_o_custkey <> r_o_custkey OR (l_o_custkey IS NULL AND r_o_custkey IS NULL)", ("o_orderkey<=60", "o_orderkey>60 and o_orderkey<=100"), ("o_orderkey <= 60", "o_orderkey > 60 AND o_orderkey <= 100"), sources=(orders_nulls, orders_nulls))
 _join("join_full_theta", ("nation", "region"), "n_regionkey<r_regionkey", "OUTON", "l_n_regionkey < r_r_regionkey")
 _join("join_or_condition", ("nation", "supplier"), "n_nationkey=s_nationkey or n_regionkey=s_nationkey", "ON", "l_n_nationkey = r_s_nationkey OR l_n_regionkey = r_s_nationkey")
 _join("join_multi_key", ("customer", "supplier"), "c_nationkey=s_nationkey and c_acctbal>=s_acctbal", "ON", "l_c_nationkey = r_s_nationkey AND l_c_acctbal >= r_s_acctbal", ('c_mktsegment="BUILDING"', None), ("c_mktsegment = 'BUILDING'", "true"))
@@ -169,6 +168,21 @@ _add(
     _join_whole_theta,
     f"SELECT a.n_nationkey AS l_n_nationkey, a.n_name AS l_n_name, a.n_regionkey AS l_n_regionkey, b.r_regionkey AS r_r_regionkey, b.r_name AS r_r_name FROM {_NATION_NULLS_SQL} a JOIN {_REGION_NULLS_SQL} b ON a.n_regionkey <> b.r_regionkey OR (a.n_regionkey IS NULL AND b.r_regionkey IS NULL)",
 )
+_SUPPLIER_NULLS_SQL = "(SELECT s_suppkey, CASE WHEN s_suppkey % 4 <> 0 THEN s_nationkey END AS s_nationkey FROM supplier)"
+
+
+def _join_theta_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole tables: nation has 25 rows, so the nested loop grows with suppliers alone."""
+    supplier = keyed(spark, sf_dir, "supplier").data.select("s_suppkey", F.when(F.col("s_suppkey") % 4 != 0, F.col("s_nationkey")).alias("s_nationkey"))
+    nation = keyed(spark, sf_dir, "nation").data.select("n_nationkey", F.when(F.col("n_nationkey") % 5 != 0, F.col("n_regionkey")).alias("n_regionkey"))
+    return join(dataset("supplier", supplier, ["s_suppkey"], check=False), dataset("nation", nation, ["n_nationkey"], check=False), "s_nationkey!=n_regionkey")
+
+
+_add(
+    "join_theta_ne_null",
+    _join_theta_suppliers,
+    f"SELECT a.s_suppkey AS l_s_suppkey, a.s_nationkey AS l_s_nationkey, b.n_nationkey AS r_n_nationkey, b.n_regionkey AS r_n_regionkey FROM {_SUPPLIER_NULLS_SQL} a JOIN {_NATION_NULLS_SQL} b ON a.s_nationkey <> b.n_regionkey OR (a.s_nationkey IS NULL AND b.n_regionkey IS NULL)",
+)
 _add(
     "join_null_safe_whole",
     _join_whole_null_safe,
@@ -255,7 +269,7 @@ def _purged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _add("purge_horizon", _purged, _snapshot_sql("true"))
-_add("fetch_batches", lambda s, d: read.fetch_batches(keyed(s, d, "orders")).select("o_orderkey", "batch"), "SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 AS batch FROM orders")
+_add("fetch_batches", lambda s, d: read.fetch_batches(keyed(s, d, "orders"), select=["o_orderkey"]), "SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 AS batch FROM orders")
 _add("ordered_scan", lambda s, d: read.in_key_order(keyed(s, d, "conversations")), "SELECT * FROM conversations")
 _add(
     "metadata",
@@ -273,15 +287,8 @@ _add(
 _add("entry_count", lambda s, d: read.entry_count(keyed(s, d, "events")), "SELECT count(*) AS entries FROM events")
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors see."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    unique = spark.sparkContext._jvm.java.util.UUID.randomUUID().toString()
-    return f"{shared}/{unique}" if shared else tempfile.mkdtemp(prefix="ledgerframe-")
-
-
 def _copied(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _scratch(spark) + "/customer"
+    path = new_folder(spark) + "/customer"
     files.copy_to(keyed(spark, sf_dir, "customer"), path)
     return files.read_parquet(spark, "copy", path, ["c_custkey"]).data
 
@@ -302,7 +309,7 @@ _add("jdbc_roundtrip", _jdbc_roundtrip, "SELECT * REPLACE (CASE WHEN n_regionkey
 
 
 def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = _scratch(spark)
+    at = new_folder(spark)
     feed = change_feed(spark, sf_dir)
     target = feed.select("user_id", "value").schema
     for low, high in ((0, 300), (300, 2**62)):
