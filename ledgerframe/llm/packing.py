@@ -7,10 +7,12 @@ capacities. Pieces are dealt at random (by hash) over groups of about
 GROUP_PIECES, each packed by one task: the number of groups follows the data,
 and with thousands of windows to choose from a group loses next to nothing.
 
-Token ids are those of the tokenizers library as it loads the vocabulary, so an
-added token written out in a text, as <|endoftext|>, becomes that token. Texts that
-Latin-1 can express and that hold no added token take a faster path with the same vocabulary and pattern, whose ids are equal
-(tested); all others go to the library itself.
+All token ids come from the tokenizers library as it loads the vocabulary. For
+speed texts are cut into segments where the vocabulary's pattern always ends a
+token and no added token can lie: after a letter before an ASCII character that is
+none, and before a single space. Each different segment is encoded by the library
+once while a bounded memo of the worker has it; a text's ids are those of its
+segments in order (tested against whole texts by an untouched tokenizer).
 
 Results in special cases: a null or empty text is END_ID alone; rows of a
 repeated doc_id are packed each; a document of exactly a window is one full
@@ -19,8 +21,9 @@ piece; other columns are ignored.
 
 from __future__ import annotations
 
-import base64
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,7 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, settle
+from .common import Batches, settle
+from .words import chunks, prefix_sums, span_hash
 
 WINDOW, END_ID, GROUP_PIECES = 2048, 1, 20_000
 
@@ -40,55 +44,115 @@ def _tokenizer(path: str | None):
     import public_tokenizers
     from tokenizers import Tokenizer
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has its own core, no more
+
     return Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
 
 
-@lru_cache(maxsize=2)
-def _added_tokens(path: str | None) -> tuple[str, ...]:
-    return tuple(t.content for t in _tokenizer(path).get_added_tokens_decoder().values())
+#: Segments that a worker's memo holds at most, and the longest it takes, in bytes.
+MEMO_SEGMENTS, MEMO_BYTES = 500_000, 64
+#: Characters of texts that are encoded together, about.
+CHUNK_CHARS = 2_000_000
+
+_BYTES = np.arange(256)
+_IS_LETTER = np.isin(_BYTES, list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"))
+_IS_SPACE = np.isin(_BYTES, list(b" \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"))
+#: First bytes of two-byte characters that are no white space; of those of the first
+#: of them, two are no letters.
+_LEADS = (_BYTES >= 0xC3) & (_BYTES <= 0xDF)
+_LATIN_LEAD, _LATIN_SIGNS = 0xC3, (0x97, 0xB7)
+
+
+def may_cut(data: np.ndarray) -> np.ndarray:
+    """Of every UTF-8 byte but the first, whether a text may be cut before it.
+
+    Added tokens hold '|' after letters, and no space, so they are never cut.
+    """
+    before, at = data[:-1], data[1:]
+    lead = np.zeros(len(before), dtype=np.uint8)
+    lead[1:] = before[:-1]
+    two_bytes = (before >= 0x80) & _LEADS[lead]
+    letter = _IS_LETTER[before] | (two_bytes & (lead == _LATIN_LEAD) & ~np.isin(before, _LATIN_SIGNS))
+    after_letter = letter & (at < 0x80) & ~_IS_LETTER[at] & (at != ord("|"))
+    follows = np.zeros(len(at), dtype=np.uint8)
+    follows[:-1] = at[1:]
+    starts_word = (follows > 0) & ((follows < 0x80) & ~_IS_SPACE[follows] | _LEADS[follows])
+    single_space = (at == 0x20) & starts_word & ((before < 0x80) & ~_IS_SPACE[before] | two_bytes)
+    return after_letter | single_space
+
+
+class Encoder:
+    """Token ids of whole texts, with a memo of segments."""
+
+    def __init__(self, path: str | None = None) -> None:
+        self.library = _tokenizer(path)
+        self.memo: dict[bytes, bytes] = {}
+
+    def _ids(self, segments: list[bytes]) -> list[bytes]:
+        """Of every segment its ids, as bytes."""
+        if len(self.memo) > MEMO_SEGMENTS:
+            self.memo.clear()
+        new = [x for x in segments if x not in self.memo]
+        found = dict(zip(new, (array("I", e.ids).tobytes() for e in self.library.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)), strict=True))
+        self.memo.update((x, ids) for x, ids in found.items() if len(x) <= MEMO_BYTES)
+        return [found[x] if x in found else self.memo[x] for x in segments]
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of every text; null and empty ones have none."""
+        parts = [(t or "").encode() for t in texts]
+        raw = b"\n".join(parts) + b"\n"
+        data = np.frombuffer(raw, dtype=np.uint8)
+        text = np.zeros(len(parts) + 1, dtype=np.int64)  # each ends by the line feed that joins it to the next
+        np.cumsum([len(p) + 1 for p in parts], out=text[1:])
+        cuts = np.append(True, may_cut(data))
+        cuts[text[:-1]] = True
+        start = np.flatnonzero(cuts)
+        of = np.searchsorted(text, start, side="right") - 1
+        end = np.minimum(np.append(start[1:], len(raw)), text[of + 1] - 1)
+        start, end = np.minimum(start, end), end
+        keys = span_hash(prefix_sums(data.astype(np.uint64) + np.uint64(1)), start, end)
+        _, first, which = np.unique(keys, return_index=True, return_inverse=True)
+        size = end - start
+        shown = np.repeat(start[first][which] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        own = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+        if (size[first][which] != size).any() or (data[shown] != data[own]).any():  # two segments of one hash
+            first, which = np.arange(len(start)), np.arange(len(start))
+        ids = self._ids([raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)])
+        flat, n = np.frombuffer(b"".join(ids), dtype="<u4"), np.array([len(x) // 4 for x in ids], dtype=np.int64)
+        place, n = (np.cumsum(n) - n)[which], n[which]
+        out = flat[np.repeat(place - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        return np.split(out, np.cumsum(np.bincount(of, weights=n, minlength=len(parts)).astype(np.int64))[:-1])
 
 
 @lru_cache(maxsize=2)
-def _latin_encoding(path: str | None):
-    import public_tokenizers
-    import tiktoken
-
-    with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("latin", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
-def _is_latin(text: str) -> bool:
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return True
+def encoder(path: str | None = None) -> Encoder:
+    """One encoder for each worker process; tasks that follow share its memo."""
+    return Encoder(path)
 
 
-def encode(text: str | None, tokenizer: str | None = None, ranks: str | None = None) -> list[int]:
-    """Token ids of a whole text, as the tokenizers library gives them."""
-    if not text:
-        return []
-    if _is_latin(text) and not any(t in text for t in _added_tokens(tokenizer)):
-        return _latin_encoding(ranks).encode_ordinary(text)
-    return _tokenizer(tokenizer).encode(text, add_special_tokens=False).ids
+def encode(text: str | None, tokenizer: str | None = None) -> list[int]:
+    """Token ids of one whole text."""
+    return encoder(tokenizer).encode([text])[0].tolist()
 
 
-def token_pieces(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = None) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """doc_id, start, length, ids_crc32 and doc_tokens of every piece of docs(doc_id, text)."""
 
-    def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int, int, int, int]] = []
-        for i, text in enumerate(batch.column("text").to_pylist()):
-            ids = np.array([*encode(text, tokenizer, ranks), END_ID], dtype="<u4")
-            out += [(i, a, len(part := ids[a : a + WINDOW]), zlib.crc32(part.tobytes()), len(ids)) for a in range(0, len(ids), WINDOW)]
-        of, *columns = zip(*out, strict=True)
-        arrays = [batch.column("doc_id").take(pa.array(of)), *(pa.array(c, pa.int64()) for c in columns), pa.array(range(len(out)), pa.int64())]
-        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "n"])
+    def rows(batches: Batches) -> Batches:
+        own = encoder(tokenizer)
+        for batch in batches:
+            out: list[tuple[int, int, int, int, int]] = []
+            texts = batch.column("text").to_pylist()
+            for a, b in chunks(texts, CHUNK_CHARS):
+                for i, found in enumerate(own.encode(texts[a:b]), start=a):
+                    ids = np.append(found, np.array([END_ID], dtype="<u4"))
+                    out += [(i, k, len(part := ids[k : k + WINDOW]), zlib.crc32(part.tobytes()), len(ids)) for k in range(0, len(ids), WINDOW)]
+            of, *columns = zip(*out, strict=True) if out else [()] * 6
+            arrays = [batch.column("doc_id").take(pa.array(of, pa.int64())), *(pa.array(c, pa.int64()) for c in columns), pa.array(range(len(out)), pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "n"])
 
     rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return arrow_map(rows_in, rows, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, n long")
+    return rows_in.mapInArrow(rows, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, n long")
 
 
 class RoomTree:
@@ -141,10 +205,10 @@ def best_fit(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id and offset."""
-    pieces = settle(token_pieces(docs, tokenizer, ranks))
+    pieces = settle(token_pieces(docs, tokenizer))
     groups = max(1, -(-pieces.count() // GROUP_PIECES))
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 

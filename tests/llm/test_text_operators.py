@@ -1,9 +1,11 @@
 """Operators on texts against brute force, and in their special cases."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -229,8 +231,16 @@ def test_false_rejections_stay_below_the_risk(spark):
 # --- packing
 
 
+@lru_cache(maxsize=1)
+def fresh_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def test_packing_round_trip(spark, documents, edges):
-    tokenizer = packing._tokenizer(None)
+    tokenizer = fresh_tokenizer()
     for docs in (documents, edges):
         pieces = [tuple(r) for r in packing.pack(docs).select("doc_id", "start", "length", "ids_crc32", "doc_tokens").collect()]
         want = []
@@ -268,18 +278,25 @@ def test_best_fit_takes_the_tightest_window():
     assert [64 - offset for _, offset in got] == want
 
 
-@pytest.mark.parametrize("text", ["<|endoftext|>", "it's  I'LL\n\n\tx 1234", "naïve\xa0café\x85\x1c½", "日本語 text", "a" * 5000, "\ud83d\ude00 ok" if False else "😀 ok"])
-def test_ids_equal_the_library(text):
-    assert packing.encode(text) == packing._tokenizer(None).encode(text, add_special_tokens=False).ids
+@pytest.mark.parametrize("text", ["end of a<|endoftext|>next text", "<|endoftext|>", "日本語<|endoftext|> text", "a <|endoftext|><|endoftext|>\n b", "<|endoftext |> no token", "it's  I'LL\n\n\tx 1234", "naïve\xa0café\x85\x1c½", "日本語 text", "a" * 5000, "😀 ok"])
+def test_ids_equal_an_untouched_library(text):
+    assert packing.encode(text) == fresh_tokenizer().encode(text, add_special_tokens=False).ids
 
 
-@pytest.mark.parametrize("text", ["end of a<|endoftext|>next text", "<|endoftext|>", "日本語<|endoftext|> text", "a <|endoftext|><|endoftext|>\n b", "<|endoftext |> no token"])
-def test_added_tokens_equal_a_fresh_library(text):
-    import public_tokenizers
-    from tokenizers import Tokenizer
+def test_segments_join_to_the_ids_of_whole_texts():
+    parts = ["a", "b", " ", "  ", "\n", "\t", " \n", "'s", "'ll", "<|endoftext|>", "<|endoftext", "|>", "1", "!", "日", "é", "\xa0", "\x85", "\x1c", "\x0b", "😀", " x", " '", "\r", "_", "×", "ü", "\u3000", "\u2028", "ж", "½", "\xaa", "\u0301"]
+    rng, library = random.Random(1), fresh_tokenizer()
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(8000)]
+    for a in range(0, len(texts), 400):
+        got = packing.encoder().encode(texts[a : a + 400])
+        assert [x.tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in texts[a : a + 400]]
+
 
-    fresh = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    assert packing.encode(text) == fresh.encode(text, add_special_tokens=False).ids
+def test_a_full_memo_starts_anew(monkeypatch):
+    monkeypatch.setattr(packing, "MEMO_SEGMENTS", 3)
+    own = packing.Encoder()
+    for text in ("one two three four five", "one two", "six seven eight nine", "x" * 100 + " y"):
+        assert own.encode([text])[0].tolist() == fresh_tokenizer().encode(text, add_special_tokens=False).ids
 
 
 # --- classifiers
