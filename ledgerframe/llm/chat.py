@@ -7,15 +7,14 @@ one role are merged into a block. A block reads
 
 and texts are escaped (\ to \b, < to \l, # to \h) so that no marker can occur
 in them; roles also have their line feeds escaped. The escape is undone exactly.
-The output also comes as segments, which make up the formatted text in order;
-each is under the loss mask or not. Every assistant text is a segment under it;
-headers, <next> and </turn> never are.
+The loss mask comes as spans of the formatted text's UTF-8 bytes, in order. Every
+assistant text is one span; headers, <next> and </turn> never are under the mask.
 
 Turns are first collected in chunks of CHUNK_TURNS, so a long conversation is
 sorted in parts before its rows meet in the one row that must hold it.
 
 Results in special cases: null text or role reads back as empty; turns of equal
-number are ordered by role, then text; a null turn number comes first; rows with
+number are ordered by role, then text, as they are before escaping; a null turn number comes first; rows with
 a null conv_id form one conversation; repeated rows are repeated turns; other
 columns are ignored.
 """
@@ -55,16 +54,28 @@ def _segment(text: Column, loss: Column) -> Column:
     return F.struct(text.alias("text"), loss.alias("loss"))
 
 
+def _sums_before(lengths: Column, start: Column) -> Column:
+    """start and the lengths before each of them, summed up; for short arrays."""
+    zero = F.struct(start.alias("at"), F.array().cast("array<long>").alias("out"))
+    return F.aggregate(lengths, zero, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+
+def _places(lengths: Column) -> Column:
+    """The sums of the lengths before each, in two levels, so that arrays stay short."""
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / CHUNK_TURNS).cast("int")), lambda k: F.slice(lengths, k * CHUNK_TURNS + 1, F.lit(CHUNK_TURNS)))
+    totals = F.transform(parts, lambda p: F.aggregate(p, F.lit(0).cast("long"), lambda a, x: a + x))
+    return F.flatten(F.zip_with(parts, _sums_before(totals, F.lit(0).cast("long")), _sums_before))
+
+
 def format_chats(turns: DataFrame) -> DataFrame:
-    """conv_id, formatted and segments (text, loss) of every conversation in turns(conv_id, turn, role, text)."""
-    row = F.struct(
-        F.col("turn").cast("long").alias("turn"),
-        _escape_role(F.coalesce("role", F.lit(""))).alias("role"),
-        escape(F.coalesce("text", F.lit(""))).alias("text"),
-    )
+    """conv_id, formatted and mask (start, length) of every conversation in
+    turns(conv_id, turn, role, text); mask spans are in bytes, starts from 0."""
+    row = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     chunks = turns.groupBy("conv_id", F.floor(F.col("turn") / CHUNK_TURNS).alias("chunk")).agg(F.sort_array(F.collect_list(row)).alias("turns"))
     chats = chunks.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("chunk", "turns"))).alias("parts"))
-    sorted_turns = chats.select("conv_id", F.flatten(F.transform("parts", lambda p: p["turns"])).alias("t"))
+    in_order = chats.select("conv_id", F.flatten(F.transform("parts", lambda p: p["turns"])).alias("t"))
+    escaped = F.transform("t", lambda x: F.struct(_escape_role(x["role"]).alias("role"), escape(x["text"]).alias("text")))
+    sorted_turns = in_order.select("conv_id", escaped.alias("t"))
     t = F.col("t")
     starts = F.filter(F.sequence(F.lit(1), F.size("t")), lambda i: (i == 1) | (F.element_at(t, F.greatest(i - 1, F.lit(1)))["role"] != F.element_at(t, i)["role"]))
     merged = sorted_turns.withColumn("s", starts).withColumn(
@@ -84,7 +95,11 @@ def format_chats(turns: DataFrame) -> DataFrame:
         return F.concat(F.array(_segment(F.concat(F.lit(HEAD), b["role"], F.lit(":\n")), never)), texts, F.array(_segment(F.lit(END), never)))
 
     cut = merged.select("conv_id", F.flatten(F.transform("blocks", segments)).alias("segments"))
-    return cut.select("conv_id", F.array_join(F.transform("segments", lambda x: x["text"]), "").alias("formatted"), "segments")
+    lengths = cut.select("conv_id", "segments", F.transform("segments", lambda x: F.octet_length(x["text"]).cast("long")).alias("lengths"))
+    placed = lengths.select("conv_id", "segments", "lengths", _places(F.col("lengths")).alias("starts"))
+    spans = F.zip_with("starts", "lengths", lambda a, n: F.struct(a.alias("start"), n.alias("length")))
+    mask = F.filter(F.zip_with("segments", spans, lambda x, p: F.when(x["loss"], p)), lambda p: p.isNotNull())
+    return placed.select("conv_id", F.array_join(F.transform("segments", lambda x: x["text"]), "").alias("formatted"), mask.alias("mask"))
 
 
 def parse_chat(formatted: Column) -> Column:
@@ -100,15 +115,17 @@ def parse_chat(formatted: Column) -> Column:
     return F.flatten(F.transform(whole, turns))
 
 
-def loss_text(segments: Column) -> Column:
-    """All text under the loss mask, unescaped."""
-    return F.array_join(F.transform(F.filter(segments, lambda x: x["loss"]), lambda x: unescape(x["text"])), "")
+def loss_text(formatted: Column, mask: Column) -> Column:
+    """All text under the loss mask, read from the formatted text and unescaped."""
+    data = formatted.cast("binary")
+    read = F.transform(mask, lambda m: unescape(F.substr(data, (m["start"] + 1).cast("int"), m["length"].cast("int")).cast("string")))
+    return F.array_join(read, "")
 
 
 def chat_digest(turns: DataFrame) -> DataFrame:
     """Digests of every conversation, read back from its formatted text."""
     chats = format_chats(turns)
-    read = chats.select("conv_id", "formatted", parse_chat(F.col("formatted")).alias("turns"), loss_text(F.col("segments")).alias("loss"))
+    read = chats.select("conv_id", "formatted", parse_chat(F.col("formatted")).alias("turns"), loss_text(F.col("formatted"), F.col("mask")).alias("loss"))
     lines = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return read.select(
         F.col("conv_id").cast("long").alias("conv_id"),

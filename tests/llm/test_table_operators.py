@@ -126,8 +126,24 @@ def test_same_role_turns_are_merged(spark):
     rows = [(1, 0, "user", "a"), (1, 1, "user", "b"), (1, 2, "assistant", "c")]
     row = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).first()
     assert row["formatted"] == "### user:\na<next>b</turn>\n### assistant:\nc</turn>\n"
-    assert "".join(x["text"] for x in row["segments"]) == row["formatted"]
-    assert [x["text"] for x in row["segments"] if x["loss"]] == ["c"]
+    assert [row["formatted"].encode()[m["start"] : m["start"] + m["length"]] for m in row["mask"]] == [b"c"]
+
+
+def test_ties_are_ordered_before_escaping_and_the_mask_fits(spark, monkeypatch):
+    texts = ["<b", "=a", "#x", "\\y", "!z", "日本", "", "a#<\\"]
+    rows = [(1, 5, role, text) for text in texts for role in ("assistant", "user", "a<", "a=")] + [(1, None, "#r", "é"), (2, 0, "user", "no mask")]
+    monkeypatch.setattr(chat, "CHUNK_TURNS", 4)
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    listed = [("#r", "é"), *sorted((r, t) for c, n, r, t in rows if n == 5)]
+    row = chat.format_chats(turns).filter("conv_id = 1").select("formatted", "mask", chat.parse_chat(F.col("formatted")).alias("turns")).first()
+    assert [(x["role"], x["text"]) for x in row["turns"]] == listed
+    spans = [row["formatted"].encode()[m["start"] : m["start"] + m["length"]].decode() for m in row["mask"]]
+    assert [s.replace("\\h", "#").replace("\\l", "<").replace("\\b", "\\") for s in spans] == [t for r, t in listed if r == "assistant"]
+    digest = {r["conv_id"]: r for r in chat.chat_digest(turns).collect()}
+    loss = "".join(t for r, t in listed if r == "assistant")
+    assert digest[1]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in listed).encode()).hexdigest()
+    assert (digest[1]["loss_chars"], digest[1]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert (digest[2]["loss_chars"], digest[2]["loss_sha256"]) == (0, hashlib.sha256(b"").hexdigest())
 
 
 # --- licences
