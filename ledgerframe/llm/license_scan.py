@@ -54,10 +54,6 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "MPL-2.0": ("This file is subject to the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0"),
 }
 
-#: Longer texts are compared as a whole by the operator, but not by its SQL twin.
-_LONGEST_FILE = 20 * max(len(text) for texts in TEMPLATES.values() for text in texts)
-
-
 def _words(text: str) -> list[str]:
     return re.findall(_TOKEN, text.lower())
 
@@ -161,21 +157,36 @@ def document_paths(docs: DataFrame) -> DataFrame:
 
 
 def oracle_sql() -> str:
-    """DuckDB SQL for the scan of documents, with the templates spelled out."""
-    rows, unseen = template_vectors()
-    values = ", ".join(f"('{name}', {i}, '{word}', {idf!r}::DOUBLE, {unit!r}::DOUBLE)" for name, i, word, idf, unit in rows)
+    """DuckDB SQL for the scan of documents. It holds all template texts and
+    derives their words and weights itself."""
+
+    def quoted(text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
+
+    sets = ((1, TEMPLATES), (0, full_texts()))
+    values = ", ".join(f"({least}, {quoted(name)}, {i}, {quoted(text)})" for least, templates in sets for name, texts in sorted(templates.items()) for i, text in enumerate(texts))
     return f"""
-WITH t(license, template, word, idf, unit) AS (VALUES {values}),
+WITH given(least, license, template, text) AS (VALUES {values}),
+tw AS (SELECT least, license, template, word, count(*) AS n
+       FROM (SELECT least, license, template, unnest(regexp_extract_all(lower(text), '{_TOKEN}')) AS word FROM given) GROUP BY ALL),
+sets AS (SELECT least, count(*) AS templates, ln(count(*) + 1) + least AS unseen FROM given GROUP BY least),
+idf AS (SELECT least, word, ln((any_value(templates) + 1) / (count(*) + 1)) + least AS idf FROM tw JOIN sets USING (least) GROUP BY least, word),
+t AS (SELECT least, license, template, word, n * idf / sqrt(sum(n * idf * n * idf) OVER (PARTITION BY least, license, template)) AS unit FROM tw JOIN idf USING (least, word)),
 f AS (SELECT doc_id, coalesce(source, '_') || '/' || coalesce(lang, '_') AS dir,
              coalesce(source, '_') || '/' || coalesce(lang, '_') || '/' || coalesce(CAST(doc_id AS VARCHAR), '_') || '.txt' AS path, text FROM documents),
-cued AS (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{CUE}')) AS lines FROM f WHERE regexp_matches(text, '{CUE}')),
-parts AS (SELECT doc_id, unnest(range(len(lines))) AS part, unnest(lines) AS line FROM cued
-          UNION ALL SELECT doc_id, -1, text FROM cued WHERE length(text) <= {_LONGEST_FILE}),
+cued AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM f WHERE regexp_matches(text, '{CUE}')),
+cues AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS part, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap
+         FROM (SELECT doc_id, unnest(range(1, len(lines) + 1)) AS i, unnest(lines) AS line FROM cued) WHERE regexp_matches(line, '{CUE}')),
+grouped AS (SELECT *, sum(CASE WHEN gap > {BLOCK_GAP} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS block FROM cues),
+spans AS (SELECT doc_id, block, min(i) AS a, max(i) AS b FROM grouped GROUP BY ALL HAVING max(i) > min(i)),
+spanned AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY block) - 1 AS n, a, b FROM spans),
+parts AS (SELECT doc_id, part, line FROM cues UNION ALL SELECT doc_id, -1, text FROM cued
+          UNION ALL SELECT doc_id, -2 - n, array_to_string(lines[a:b], chr(10)) FROM spanned JOIN cued USING (doc_id)),
 counted AS (SELECT doc_id, part, word, count(*) AS n FROM (SELECT doc_id, part, unnest(regexp_extract_all(lower(line), '{_TOKEN}')) AS word FROM parts) GROUP BY ALL),
-x AS (SELECT c.*, n * coalesce(i.idf, {unseen!r}::DOUBLE) AS x FROM counted c LEFT JOIN (SELECT DISTINCT word, idf FROM t) i USING (word)),
-lengths AS (SELECT doc_id, part, sqrt(sum(x * x)) AS length FROM x GROUP BY ALL),
-near AS (SELECT doc_id, part, license, round(sum(x * unit) / any_value(length), 9) AS similarity FROM x JOIN t USING (word) JOIN lengths USING (doc_id, part)
-         GROUP BY doc_id, part, license, template HAVING similarity >= {THRESHOLD}),
+x AS (SELECT c.*, s.least, n * coalesce(i.idf, s.unseen) AS x FROM counted c CROSS JOIN sets s LEFT JOIN idf i ON i.least = s.least AND i.word = c.word),
+lengths AS (SELECT doc_id, part, least, sqrt(sum(x * x)) AS length FROM x GROUP BY ALL HAVING length > 0),
+near AS (SELECT doc_id, part, license, round(sum(x * unit) / any_value(length), 9) AS similarity FROM x JOIN t USING (least, word) JOIN lengths USING (doc_id, part, least)
+         WHERE unit > 0 GROUP BY doc_id, part, least, license, template HAVING similarity >= {THRESHOLD}),
 own AS (SELECT doc_id, license, similarity, part = -1 AS whole FROM near
         QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY part <> -1, similarity DESC, part, license) = 1),
 speaks AS (SELECT dir, license, similarity FROM own JOIN f USING (doc_id) WHERE whole

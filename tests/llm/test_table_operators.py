@@ -153,26 +153,42 @@ def brute_scan(files):
     import math
     import re
 
-    vectors, unseen = license_scan.template_vectors()
-    units, idf = defaultdict(dict), {}
-    for name, i, word, weight, unit in vectors:
-        units[name, i][word] = unit
-        idf[word] = weight
+    sets = []
+    for least, given in ((1, license_scan.TEMPLATES), (0, license_scan.full_texts())):
+        bags = [(name, Counter(re.findall(r"[a-z0-9]+(?:\.[0-9]+)*", t.lower()))) for name, texts in given.items() for t in texts]
+        seen = Counter(w for _, bag in bags for w in bag)
+        idf = {w: math.log((len(bags) + 1) / (n + 1)) + least for w, n in seen.items()}
+        sets.append((bags, idf, math.log(len(bags) + 1) + least))
 
     def closest(text):
-        words = Counter(license_scan._words(text))
-        x = {w: n * idf.get(w, unseen) for w, n in words.items()}
-        length = math.sqrt(sum(v * v for v in x.values()))
-        found = [(-round(sum(v * u.get(w, 0) for w, v in x.items()) / length, 9), name) for (name, _), u in units.items() if length]
+        words, found = Counter(re.findall(r"[a-z0-9]+(?:\.[0-9]+)*", text.lower())), []
+        for bags, idf, unseen in sets:
+            x = {w: n * idf.get(w, unseen) for w, n in words.items()}
+            length = math.sqrt(sum(v * v for v in x.values()))
+            for name, bag in bags:
+                unit = math.sqrt(sum((n * idf[w]) ** 2 for w, n in bag.items()))
+                if length:
+                    found.append((-round(sum(v * bag[w] * idf[w] for w, v in x.items() if w in bag) / unit / length, 9), name))
         return min(((s, n) for s, n in found if -s >= license_scan.THRESHOLD), default=None)
 
-    longest = 20 * max(len(t) for ts in license_scan.TEMPLATES.values() for t in ts)
+    def notices(text):
+        """Cue lines, and blocks of them, with their rank where equal: blocks first."""
+        lines = text.split("\n")
+        at = [i for i, line in enumerate(lines) if re.search(license_scan.CUE, line)]
+        blocks, start = [], 0
+        for k in range(1, len(at) + 1):
+            if k == len(at) or at[k] - at[k - 1] > license_scan.BLOCK_GAP:
+                if at[k - 1] > at[start]:
+                    blocks.append("\n".join(lines[at[start] : at[k - 1] + 1]))
+                start = k
+        return [(-2 - n, b) for n, b in enumerate(blocks)] + [(n, lines[i]) for n, i in enumerate(at)]
+
     own, speaks = {}, {}
     for path, text in files:
         if not text or not re.search(license_scan.CUE, text):
             continue
-        whole = closest(text) if len(text) <= longest else None
-        lines = [(c[0], i, c[1]) for i, line in enumerate([x for x in text.split("\n") if re.search(license_scan.CUE, x)]) if (c := closest(line))]
+        whole = closest(text)
+        lines = [(c[0], i, c[1]) for i, part in notices(text) if (c := closest(part))]
         if whole:
             own[path, text] = (whole[1], -whole[0], "file")
             if path is not None:
