@@ -37,7 +37,7 @@ def test_top_k_in_special_cases(spark, monkeypatch):
     vectors += [(300, [1.0, 2.0]), (301, [1e6] * 6)]
     odd = [(400, None), (401, []), (402, [1.0, None]), (403, [float("nan")] * 6), (404, [float("inf")] * 6), (None, [1.0] * 6)]
     monkeypatch.setattr(knn_join, "QUERY_GROUP", 8)
-    monkeypatch.setattr(knn_join, "SLICE_ROWS", 50)
+    monkeypatch.setattr(knn_join, "SLICE_COMPONENTS", 300)
     df = spark.createDataFrame(vectors + odd, "vec_id long, embedding array<double>").select("vec_id", knn_join.quantise(F.col("embedding")).alias("v"))
     got = Counter(tuple(r) for r in knn_join.knn_join(df, F.col("vec_id") % 5 == 0, 10).collect())
     whole = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in vectors]
@@ -46,12 +46,42 @@ def test_top_k_in_special_cases(spark, monkeypatch):
     assert knn_join.knn_join(df, F.lit(False)).count() == 0
 
 
-def test_far_cells_are_not_replicated(spark):
-    rng = np.random.default_rng(2)
-    rows = [(i, (rng.normal(size=4) * 3 + (200 if i % 2 else -200)).astype(int).tolist()) for i in range(600)]
+def clusters(seed, n, n_clusters, width=8, apart=3000, spread=40):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(n_clusters, width))
+    centres *= apart / np.linalg.norm(centres, axis=1, keepdims=True)  # as embeddings are
+    return [(i, (centres[rng.integers(n_clusters)] + rng.normal(size=width) * spread).astype(int).tolist()) for i in range(n)]
+
+
+def test_far_cells_are_not_replicated(spark, monkeypatch):
+    monkeypatch.setattr(knn_join, "QUERY_GROUP", 8)
+    monkeypatch.setattr(knn_join, "SLICE_COMPONENTS", 400)
+    rows = clusters(2, 3000, 20)
     df = spark.createDataFrame(rows, "vec_id long, v array<long>")
-    got = Counter(tuple(r) for r in knn_join.knn_join(df, F.col("vec_id") % 100 == 0, 5).collect())
-    assert got == brute_top(rows, 5, lambda i: i % 100 == 0)
+    is_query = F.col("vec_id") % 20 == 0
+    dealt = knn_join.deal(df, is_query, 5)
+    groups, slices = (dealt.queries.select(c).distinct().count() for c in ("g", "s"))
+    n_slices = -(-3000 // 50)
+    assert groups >= 15 and slices >= n_slices / 2
+    assert dealt.data.count() < 0.35 * groups * 3000  # sent to the groups that need them
+    assert dealt.queries.count() < 0.35 * 150 * n_slices  # and queries to the slices they need
+    got = Counter(tuple(r) for r in knn_join.knn_join(df, is_query, 5).collect())
+    assert got == brute_top(rows, 5, lambda i: i % 20 == 0)
+
+
+def test_bounds_are_exact_for_norms_of_any_size(spark, monkeypatch):
+    monkeypatch.setattr(knn_join, "SLICE_COMPONENTS", 200)
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.normal(size=4) * 10 ** rng.uniform(0, 7)).astype(int).tolist()) for i in range(500)] + [(1000 + i, [3, 4, 0, 0]) for i in range(60)] + [(2000 + i, [0] * 4) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    got = Counter(tuple(r) for r in knn_join.knn_join(df, F.col("vec_id") % 10 == 0, 10).collect())
+    assert got == brute_top(rows, 10, lambda i: i % 10 == 0)
+
+
+def test_top_k_passes_over_other_columns(spark):
+    df = spark.createDataFrame([(i, [i, 1], 5, 6, 7) for i in range(30)], "vec_id long, v array<long>, g int, s int, cell int")
+    got = Counter(tuple(r) for r in knn_join.knn_join(df, F.col("vec_id") == 3, 4).collect())
+    assert got == brute_top([(i, [i, 1]) for i in range(30)], 4, lambda i: i == 3)
 
 
 # --- mixing
