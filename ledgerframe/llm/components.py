@@ -31,7 +31,7 @@ def _state(edges: DataFrame) -> tuple[int, int]:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(a, b) edges between longs, to one row (a, b) for every vertex a but the
+    """(a, b) edges between vertices of one ordered type, to one row (a, b) for every vertex a but the
     smallest of each component, which is its b.
 
     Every round joins edges with each vertex's smallest neighbour; neither a

@@ -1,16 +1,23 @@
 """N-gram Jaccard self-join by a MinHash LSH forest and exact verification.
 
 Two texts are linked if the sets of their five-word shingles have a Jaccard
-similarity of 4/5 or more. Each distinct text gets a label sequence per tree of
-the forest; texts that share a label prefix in any tree are candidates. Prefixes
-are shortened from MAX_DEPTH down to the longest one at which a pair just at the
-threshold is found with TARGET_RECALL or more.
-
-Candidates are joined into components by edges to one hub per prefix, so their
-number grows with the texts, not with pairs. All pairs within a component are
-then verified on the whole shingle sets: small components share a task, large
-ones are dealt out in pairs of bounded blocks. A task returns link counts and a
-spanning forest, one row per text. Copies are one text until the end.
+similarity of 4/5 or more. Each distinct text gets a label of MAX_DEPTH MinHash
+values per tree. The labels of all trees are sorted, so that a trie's node is a run
+of leaves with one prefix. One pass over the runs counts the pairs under the nodes
+of every tree and depth. Matched prefixes start at MAX_DEPTH and are then shortened,
+each time in the tree where that adds the fewest pairs for what it adds to recall,
+until a pair just at the threshold is found with TARGET_RECALL or more. (Depths go
+by a tree's totals: if they went by a text's own matches, the choice would depend on
+the pairs sought, and the bound would not hold.) Texts under a node of their tree's
+depth are candidates.
+
+Edges to the first text of every run, of which there are no more than leaves, join
+candidates into components. Verification on the whole shingle sets goes by component
+where that takes no more pairs than its nodes have together, and else by node, so
+chains of copies cost what their nodes do; a pair under several nodes counts in one.
+Units of either kind share tasks while small and are dealt out in pairs of bounded
+blocks where large. A task returns link counts and a spanning forest, one row per
+text and unit. Copies are one text until the end; a text's identity is its md5.
 
 Results in special cases: texts of one to four words have one shingle, all
 their words; texts without a word (null ones too) have no link and are their own
@@ -20,32 +27,43 @@ docs are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, settle
+from .common import Batches, arrow_map, settle
 from .components import components, with_group
 from .words import chunks, mix, signed, span_hash, prefix_sums, split_words, window_hash
 
 SHINGLE = 5
 #: The least similarity, as a fraction.
 NUMERATOR, DENOMINATOR = 4, 5
-TREES, MAX_DEPTH, TARGET_RECALL = 16, 12, 0.995
+TREES, MIN_DEPTH, MAX_DEPTH, TARGET_RECALL = 16, 3, 8, 0.998
+#: Leaves of the sorted tries that one task holds, about.
+TASK_LEAVES = 1_000_000
 #: Shingles and texts that one block of a component holds at most, about.
 BLOCK_SHINGLES, BLOCK_TEXTS = 400_000, 1000
 _COLUMNS = 2048
 _NULL_ID = -(2**63)
 
 
-def prefix_depth(trees: int = TREES, target: float = TARGET_RECALL) -> int:
-    """The longest prefix with the target recall at the threshold."""
-    s = NUMERATOR / DENOMINATOR
-    return next((k for k in range(MAX_DEPTH, 1, -1) if 1 - (1 - s**k) ** trees >= target), 1)
+def choose_depths(pairs: np.ndarray, target: float = TARGET_RECALL) -> np.ndarray:
+    """The depth of every tree from its pairs (trees x depths from MIN_DEPTH on):
+    prefixes are shortened until a pair at the threshold is found with the target."""
+    found = (NUMERATOR / DENOMINATOR) ** np.arange(MIN_DEPTH, MAX_DEPTH + 1)
+    missed = np.log1p(-found)  # of a tree that stands at each depth
+    at = np.full(len(pairs), len(found) - 1)
+    while missed[at].sum() > math.log(1 - target) and at.any():
+        trees = np.flatnonzero(at)
+        added = pairs[trees, at[trees] - 1] - pairs[trees, at[trees]] + 1.0
+        gained = missed[at[trees]] - missed[at[trees] - 1]
+        at[trees[(added / gained).argmin()]] -= 1
+    return at + MIN_DEPTH
 
 
 def _shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -67,44 +85,136 @@ def _shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return out, bounds
 
 
-def _labels(shingles: np.ndarray, bounds: np.ndarray, depth: int) -> np.ndarray:
-    """The prefix of every tree, as one hash, for every document with a shingle."""
+def _labels(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Every document's label, MAX_DEPTH values of two bytes for each tree; for
+    documents with a shingle."""
     random = np.random.Generator(np.random.PCG64(7))
     starts = bounds[:-1][np.diff(bounds) > 0]
-    out = np.zeros((len(starts), TREES), dtype=np.uint64)
-    if not len(starts):
-        return out
-    for tree in range(TREES):
-        key = np.full(len(starts), tree + 1, dtype=np.uint64)
-        for _ in range(depth):
-            flip, factor = random.integers(0, 2**63, 2, dtype=np.uint64)
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat((shingles ^ flip) * (factor | np.uint64(1)), starts))
-        out[:, tree] = key
+    out = np.zeros((len(starts), TREES * MAX_DEPTH), dtype=">u2")
+    for i in range(out.shape[1] if len(starts) else 0):
+        flip, factor = random.integers(0, 2**63, 2, dtype=np.uint64)
+        out[:, i] = mix(np.minimum.reduceat((shingles ^ flip) * (factor | np.uint64(1)), starts)) >> np.uint64(48)
     return out
 
 
-def _signature_rows(depth: int):
-    def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        texts = batch.column("text").to_pylist()
-        for a, b in chunks(texts):
-            shingles, bounds = _shingles(texts[a:b])
-            n = np.diff(bounds)
-            labels = signed(_labels(shingles, bounds, depth).reshape(-1))
-            offsets = np.zeros(len(n) + 1, dtype=np.int32)
-            np.cumsum(np.where(n > 0, TREES, 0), out=offsets[1:])
-            keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(labels))
-            yield pa.RecordBatch.from_arrays([batch.column("v").slice(a, b - a), batch.column("doc").slice(a, b - a), pa.array(n, pa.int64()), keys], names=["v", "doc", "k", "keys"])
+def _signature_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    texts = batch.column("text").to_pylist()
+    for a, b in chunks(texts):
+        shingles, bounds = _shingles(texts[a:b])
+        n = np.diff(bounds)
+        labels = iter(_labels(shingles, bounds))
+        column = pa.array([next(labels).tobytes() if x else None for x in n], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("v").slice(a, b - a), batch.column("doc").slice(a, b - a), pa.array(n, pa.int64()), column], names=["v", "doc", "k", "label"])
+
+
+_LEAF_BYTES = 1 + 2 * MAX_DEPTH
+
+
+class Leaves:
+    """A task's part of the sorted tries: leaves (tree, label) and their texts."""
+
+    def __init__(self, batches: Batches) -> None:
+        held = [(b.column("leaf"), b.column("v")) for b in batches if b.num_rows]
+        self.v = pa.concat_arrays([x for _, x in held]) if held else pa.array([], pa.binary())
+        raw = b"".join(x for leaf, _ in held for x in leaf.to_pylist())
+        self.leaf = np.frombuffer(raw, dtype=np.uint8).reshape(-1, _LEAF_BYTES)
+        differ = self.leaf[1:] != self.leaf[:-1]
+        same = np.where(differ.any(axis=1), differ.argmax(axis=1), _LEAF_BYTES)
+        #: depth of the prefix shared with the leaf before; -1 for another tree
+        self.shared = np.append(-1, (same - 1) >> 1) if len(self.leaf) else same
+        self.tree = self.leaf[:, 0].astype(np.int64)
+        values = np.ascontiguousarray(self.leaf[:, 1:]).view(">u2").astype(np.uint64)
+        key = mix(self.tree.astype(np.uint64) + np.uint64(1))
+        self.nodes = {}
+        for d in range(1, MAX_DEPTH + 1):
+            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + values[:, d - 1])
+            self.nodes[d] = key
+
+    def runs(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """First leaf and length of every node's run at a depth."""
+        start = np.flatnonzero(self.shared < depth)
+        return start, np.diff(np.append(start, len(self.leaf)))
+
+    def heads(self, start: np.ndarray, size: np.ndarray) -> list[bytes]:
+        v = self.v.to_pylist()
+        return [min(v[a : a + n]) for a, n in zip(start.tolist(), size.tolist(), strict=True)]
+
+
+def _count_pairs(batches: Batches) -> Batches:
+    """Pairs under the task's nodes by tree and depth; nodes at its ends one by one,
+    as other tasks can have leaves of them too."""
+    leaves, out = Leaves(batches), []
+    for d in range(MIN_DEPTH, MAX_DEPTH + 1) if len(leaves.leaf) else ():
+        start, size = leaves.runs(d)
+        ends = sorted({0, len(start) - 1})
+        heads = leaves.heads(start[ends], size[ends])
+        out += [(int(leaves.tree[start[i]]), d, int(signed(leaves.nodes[d][start[i : i + 1]])[0]), int(size[i]), head) for i, head in zip(ends, heads, strict=True)]
+        inner = np.ones(len(start), dtype=bool)
+        inner[ends] = False
+        pairs = np.bincount(leaves.tree[start[inner]], weights=size[inner].astype(float) * (size[inner] - 1) / 2, minlength=TREES)
+        out += [(t, d, None, int(n), None) for t, n in enumerate(pairs) if n]
+    if out:
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["tree", "depth", "node", "n", "head"])
+
+
+def _member_rows(depths: np.ndarray, cut: dict[int, tuple[int, bytes]]):
+    """(v, node, size, head) of every leaf that is not alone under its node; cut has
+    size and head of the nodes whose leaves are in several tasks."""
+
+    def rows(batches: Batches) -> Batches:
+        leaves = Leaves(batches)
+        for tree in range(TREES):
+            mine = leaves.tree == tree
+            if not mine.any():
+                continue
+            start, size = leaves.runs(int(depths[tree]))
+            own = mine[start]
+            start, size = start[own], size[own]
+            node = signed(leaves.nodes[int(depths[tree])][start])
+            known = [cut.get(x) for x in node.tolist()] if cut else [None] * len(node)
+            several = (size > 1) | np.array([x is not None for x in known])
+            start, size, node, known = start[several], size[several], node[several], [x for x, s in zip(known, several, strict=True) if s]
+            if not len(start):
+                continue
+            heads = [h if x is None else x[1] for h, x in zip(leaves.heads(start, size), known, strict=True)]
+            total = np.array([n if x is None else x[0] for n, x in zip(size.tolist(), known, strict=True)], dtype=np.int64)
+            at = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+            which = np.repeat(np.arange(len(start)), size)
+            yield pa.RecordBatch.from_arrays([leaves.v.take(pa.array(at)), pa.array(node[which]), pa.array(total[which]), pa.array(heads, pa.binary()).take(pa.array(which))], names=["v", "node", "size", "head"])
 
     return rows
 
 
+def candidate_rows(reps: DataFrame) -> DataFrame:
+    """(v, node, size, head): the nodes of the forest that each text of
+    reps(v, label) is a candidate under, with the node's leaves and first text."""
+    spark = reps.sparkSession
+    n = reps.filter("label is not null").count()
+    leaf = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.concat(F.substring(F.unhex(F.hex(t)), -1, 1), F.substr(F.col("label"), t * (2 * MAX_DEPTH) + 1, F.lit(2 * MAX_DEPTH))))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * TREES // TASK_LEAVES))
+    order = ["leaf", "v"]  # no two rows are equal, so ranges are even whatever the labels
+    tries = settle(reps.filter("label is not null").select(F.explode(leaf).alias("leaf"), "v").repartitionByRange(tasks, *order).sortWithinPartitions(*order))
+    counted = settle(tries.mapInArrow(_count_pairs, "tree int, depth int, node long, n long, head binary"))
+    ends = counted.filter("node is not null").groupBy("tree", "depth", "node").agg(F.sum("n").alias("n"), F.min("head").alias("head"), F.count("*").alias("tasks"))
+    pairs = np.zeros((TREES, MAX_DEPTH - MIN_DEPTH + 1))
+    whole = counted.filter("node is null").select("tree", "depth", F.col("n").cast("double").alias("pairs"))
+    for r in whole.union(ends.select("tree", "depth", F.col("n").cast("double") * (F.col("n") - 1) / 2)).groupBy("tree", "depth").agg(F.sum("pairs").alias("pairs")).collect():
+        pairs[r["tree"], r["depth"] - MIN_DEPTH] = r["pairs"]
+    depths = choose_depths(pairs)
+    # at most a node for every depth and end of a task
+    cut = {r["node"]: (r["n"], bytes(r["head"])) for r in ends.filter("tasks > 1").collect() if depths[r["tree"]] == r["depth"]}
+    return tries.mapInArrow(_member_rows(depths, cut), "v binary, node long, size long, head binary")
+
+
 def _set_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Every text's set of shingles, sorted, as bytes."""
     texts = batch.column("text").to_pylist()
     for a, b in chunks(texts):
         shingles, bounds = _shingles(texts[a:b])
         sets = [np.unique(shingles[bounds[i] : bounds[i + 1]]).tobytes() for i in range(b - a)]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("v", "w", "comp", "nb")), pa.array(sets, pa.binary())], names=["v", "w", "comp", "nb", "sets"])
+        names = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in names), pa.array(sets, pa.binary())], names=[*names, "sets"])
 
 
 def _linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -141,13 +251,26 @@ def _roots(linked: np.ndarray) -> np.ndarray:
         label = least
 
 
-def _verify(v: np.ndarray, w: np.ndarray, sets: list[np.ndarray], block: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Link counts and roots of one component, or of one pair of its blocks."""
+def _elsewhere(unit: int, nodes: list) -> np.ndarray | None:
+    """Which texts share a node that comes before the unit, a node itself: those
+    pairs count there. None if the unit is a component."""
+    if nodes[0] is None:
+        return None
+    listed = [set(int(x) for x in n if x < unit) for n in nodes]
+    names = {x: i for i, x in enumerate(sorted(set().union(*listed)))}
+    held = np.zeros((len(nodes), len(names)), dtype=np.float32)
+    for i, own in enumerate(listed):
+        held[i, [names[x] for x in own]] = 1
+    return held @ held.T > 0
+
+
+def _verify(v: np.ndarray, w: np.ndarray, sets: list[np.ndarray], block: np.ndarray | None, elsewhere: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Link counts and roots of one unit, or of one pair of its blocks."""
     n = len(v)
     if n == 2 and block is None:
         common = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
         if (NUMERATOR + DENOMINATOR) * common >= NUMERATOR * (len(sets[0]) + len(sets[1])):
-            return w[::-1], np.array([v.min()] * 2)
+            return w[::-1] * (elsewhere is None or not elsewhere[0, 1]), np.array([v.min()] * 2, dtype=object)
         return np.zeros(2, dtype=np.int64), v
     if block is None:
         linked = _linked(sets, np.arange(n), np.arange(n))
@@ -157,61 +280,76 @@ def _verify(v: np.ndarray, w: np.ndarray, sets: list[np.ndarray], block: np.ndar
         linked = np.zeros((n, n), dtype=bool)
         linked[np.ix_(left, right)] = _linked(sets, left, right)
         linked |= linked.T
-    return linked @ w, v[_roots(linked)]
+    counted = linked if elsewhere is None else linked & ~elsewhere
+    return counted @ w, v[_roots(linked)]
 
 
 def _verified(group: pd.DataFrame) -> pd.DataFrame:
-    """All components of a bin, or one pair of blocks; texts in order of v."""
-    group = group.drop_duplicates(["comp", "v"]).sort_values(["comp", "v"])
-    v, w, comp = group["v"].to_numpy(), group["w"].to_numpy(), group["comp"].to_numpy()
+    """All units of a bin, or one pair of blocks; texts in order of v."""
+    group = group.drop_duplicates(["unit", "v"]).sort_values(["unit", "v"])
+    v, w, unit, nodes = (group[c].to_numpy() for c in ("v", "w", "unit", "nodes"))
     sets = [np.frombuffer(s, dtype=np.uint64) for s in group["sets"]]
     pair = group["i"].iloc[0] != group["j"].iloc[0]
     links, roots = np.zeros(len(v), dtype=np.int64), v.copy()
-    starts = np.flatnonzero(np.append(True, comp[1:] != comp[:-1]))
+    starts = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
     for a, b in zip(starts, np.append(starts[1:], len(v)), strict=True):
         block = group["b"].to_numpy() if pair else None
         if b - a > 1 and not (pair and (block == block[0]).all()):
-            links[a:b], roots[a:b] = _verify(v[a:b], w[a:b], sets[a:b], block)
+            links[a:b], roots[a:b] = _verify(v[a:b], w[a:b], sets[a:b], block, _elsewhere(int(unit[a]), list(nodes[a:b])))
     return pd.DataFrame({"v": v, "links": links, "root": roots})
 
 
+def _identity(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.xxhash64("text").alias("v"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc"), "text")
+    return docs.select(_identity(F.col("text")).alias("v"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc"), "text")
+
+
+def verification_units(members: DataFrame) -> DataFrame:
+    """members(v, comp, nodes, pairs, ...) once for every unit in which its pairs are
+    verified: its component, with nodes null, if all pairs of that are no more than
+    pairs (of its nodes, summed up), else each of its nodes."""
+    sized = with_group(members, "comp", "v", {"n": F.count("*"), "under": F.sum("pairs")})
+    dense = F.col("n") * F.col("n") <= F.col("under")
+    units = F.when(dense, F.array(F.xxhash64("comp"))).otherwise(F.col("nodes"))
+    return sized.withColumns({"unit": F.explode(units), "nodes": F.when(~dense, F.col("nodes"))}).drop("n", "under")
 
 
 def text_classes(docs: DataFrame) -> DataFrame:
-    """One row per distinct text: v (its hash), doc (its first doc_id), w (rows
+    """One row per distinct text: v (its md5), doc (its first doc_id), w (rows
     with it), k (shingles, repeats counted), links (rows of other texts that it
     is linked to) and root (one v for all that links connect)."""
-    depth = prefix_depth()
     reps = settle(
-        arrow_map(_texts(docs), _signature_rows(depth), "v long, doc long, k long, keys array<long>")
+        arrow_map(_texts(docs), _signature_rows, "v binary, doc long, k long, label binary")
         .groupBy("v")
-        .agg(F.coalesce(F.min(F.when(F.col("doc") != _NULL_ID, F.col("doc"))), F.lit(_NULL_ID)).alias("doc"), F.count("*").alias("w"), F.first("k").alias("k"), F.first("keys").alias("keys"))
+        .agg(F.coalesce(F.min(F.when(F.col("doc") != _NULL_ID, F.col("doc"))), F.lit(_NULL_ID)).alias("doc"), F.count("*").alias("w"), F.first("k").alias("k"), F.first("label").alias("label"))
     )
-    leaves = reps.select("v", F.explode("keys").alias("key"))
-    star = components(with_group(leaves, "key", "v", {"m": F.min("v")}, at_least=2).select(F.col("v").alias("a"), F.col("m").alias("b")))
-    members = star.select(F.col("a").alias("v"), F.col("b").alias("comp")).union(star.select(F.col("b").alias("v"), F.col("b").alias("comp")).distinct())
-    members = settle(members.join(reps.drop("keys"), "v"))
+    under = settle(candidate_rows(reps))
+    star = components(under.select(F.col("v").alias("a"), F.col("head").alias("b")))
+    member_of = star.select(F.col("a").alias("v"), F.col("b").alias("comp")).union(star.select(F.col("b").alias("v"), F.col("b").alias("comp")).distinct())
+    per_text = under.groupBy("v").agg(F.collect_list("node").alias("nodes"), F.sum("size").alias("pairs"))
+    units = settle(verification_units(member_of.join(per_text, "v").join(reps.drop("label"), "v")))
     blocks = F.greatest(F.ceil(F.sum("k") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_TEXTS)).cast("int")
-    total = members.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
+    total = units.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
     bins = max(1, -(-total // BLOCK_SHINGLES))
     sets = arrow_map(
-        with_group(members, "comp", "v", {"nb": blocks}).select("v", "doc", "w", "comp", "nb").join(_texts(docs), ["v", "doc"]).select("v", "w", "comp", "nb", "text"),
+        with_group(units, "unit", "v", {"nb": blocks}).select("v", "doc", "w", "unit", "nodes", "nb").join(_texts(docs), ["v", "doc"]).select("v", "w", "unit", "nodes", "nb", "text"),
         _set_rows,
-        "v long, w long, comp long, nb int, sets binary",
+        "v binary, w long, unit long, nodes array<long>, nb int, sets binary",
     )
     own = F.pmod(F.xxhash64("v", F.lit(1)), F.col("nb")).cast("int")
     dealt = (
         sets.withColumn("b", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        .select("v", "w", "comp", "sets", "b", F.least("b", "other").alias("i"), F.greatest("b", "other").alias("j"), F.when(F.col("nb") > 1, F.col("comp")).otherwise(F.pmod(F.xxhash64("comp"), F.lit(bins))).alias("bin"), (F.col("nb") > 1).alias("large"))
+        .select("v", "w", "unit", "nodes", "sets", "b", F.least("b", "other").alias("i"), F.greatest("b", "other").alias("j"), F.when(F.col("nb") > 1, F.col("unit")).otherwise(F.pmod(F.xxhash64("unit"), F.lit(bins))).alias("bin"), (F.col("nb") > 1).alias("large"))
     )
-    verified = settle(dealt.groupBy("large", "bin", "i", "j").applyInPandas(_verified, "v long, links long, root long"))
+    verified = settle(dealt.groupBy("large", "bin", "i", "j").applyInPandas(_verified, "v binary, links long, root binary"))
     roots = components(verified.select(F.col("v").alias("a"), F.col("root").alias("b"))).select(F.col("a").alias("v"), F.col("b").alias("root"))
     counts = verified.groupBy("v").agg(F.sum("links").alias("links"))
     return (
-        reps.drop("keys")
+        reps.drop("label")
         .join(counts, "v", "left")
         .join(roots, "v", "left")
         .select("v", "doc", "w", "k", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "v").alias("root"))
@@ -225,7 +363,7 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     per_text = settle(text_classes(docs))
     known = per_text.withColumn("known", F.when(F.col("doc") != _NULL_ID, F.col("doc")))
     classed = with_group(known, "root", "v", {"class_id": F.min("known")})
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("v")).join(classed, "v")
+    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _identity(F.col("text")).alias("v")).join(classed, "v")
     worded = F.col("k") > 0
     return joined.select(
         "doc_id",
@@ -240,7 +378,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     every row without a word."""
     per_text = settle(text_classes(docs))
     first = per_text.filter("k > 0").groupBy("root").agg(F.min(F.struct("doc", "v")).alias("first")).select(F.col("first.doc").alias("__lf_doc"), F.col("first.v").alias("__lf_v"))
-    keyed = docs.withColumns({"__lf_v": F.xxhash64("text"), "__lf_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID))})
+    keyed = docs.withColumns({"__lf_v": _identity(F.col("text")), "__lf_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID))})
     row = F.row_number().over(Window.partitionBy("__lf_v", "__lf_doc").orderBy("__lf_v"))
     worded = keyed.join(first, ["__lf_v", "__lf_doc"]).withColumn("__lf_row", row).filter("__lf_row = 1").select(docs.columns)
     return worded.union(keyed.filter(~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")).select(docs.columns))

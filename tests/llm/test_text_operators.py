@@ -156,10 +156,69 @@ def test_large_groups_are_dealt_in_blocks(spark, monkeypatch):
     assert got == brute_links(rows)
 
 
-def test_prefixes_shorten_until_the_recall_is_met():
-    k = ngram_join.prefix_depth(16, 0.995)
-    assert 1 - (1 - 0.8**k) ** 16 >= 0.995 > 1 - (1 - 0.8 ** (k + 1)) ** 16
-    assert ngram_join.prefix_depth(16, 0.9) > k > ngram_join.prefix_depth(4, 0.995)
+def missed(depths):
+    return np.prod([1 - 0.8**d for d in depths])
+
+
+def test_prefixes_shorten_where_it_costs_least_until_the_recall_is_met():
+    none = np.zeros((ngram_join.TREES, ngram_join.MAX_DEPTH - ngram_join.MIN_DEPTH + 1))
+    even = ngram_join.choose_depths(none + 100.0 ** np.arange(none.shape[1])[::-1])  # as by chance
+    assert missed(even) <= 1 - ngram_join.TARGET_RECALL and set(even) <= {4, 5, 6}
+    crowded = none + 100.0 ** np.arange(none.shape[1])[::-1]
+    crowded[3, :-1] = 10**15  # one tree has a crowd under every prefix but whole labels
+    depths = ngram_join.choose_depths(crowded)
+    assert depths[3] == ngram_join.MAX_DEPTH and depths[3] > max(np.delete(depths, 3)) and missed(depths) <= 1 - ngram_join.TARGET_RECALL
+    assert (ngram_join.choose_depths(none, 0.9) >= ngram_join.choose_depths(none)).all()
+
+
+def near_pairs(n_pairs, similarity, words=604):
+    """Pairs of texts of about a similarity, and their true one."""
+    rows, pairs, rng = [], [], random.Random(int(similarity * 1000))
+    for i in range(n_pairs):
+        a = prose(50_000 + i, words).split()
+        b = list(a)
+        for at in rng.sample(range(0, words, 5), round((1 - similarity) / (1 + similarity) * (words - 4) / 5)):
+            b[at] = f"other{i}x{at}"
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+        x, y = shingles(rows[-2][1]), shingles(rows[-1][1])
+        pairs.append(len(x & y) / len(x | y))
+    return rows, pairs
+
+
+def test_recall_of_candidates_at_the_threshold_and_above(spark):
+    for similarity, least in ((0.803, 0.985), (0.9, 0.999)):
+        rows, true = near_pairs(500, similarity)
+        found = {r["doc_id"]: r["n_links"] for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        linked = [i for i, s in enumerate(true) if s >= 0.8]
+        assert len(linked) > 200
+        assert sum(found[2 * i] for i in linked) >= least * len(linked)
+        assert all(found[2 * i] == 0 for i, s in enumerate(true) if s < 0.8)
+
+
+def test_chained_copies_are_verified_by_node(spark, monkeypatch):
+    words = prose(9, 1400).split()
+    rows = [(i, " ".join(words[2 * i : 2 * i + 60])) for i in range(600)]  # each near its neighbours only
+    sizes = []
+    units = ngram_join.verification_units
+
+    def counted(members):
+        out = ngram_join.settle(units(members))
+        sizes.extend(r["count"] for r in out.groupBy("unit").count().collect())
+        return out
+
+    monkeypatch.setattr(ngram_join, "verification_units", counted)
+    got = {r["doc_id"]: r["n_links"] for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {k[0]: k[2] for k in brute_links(rows)}
+    assert sum(got.values()) >= 0.98 * sum(want.values()) and all(got[i] <= want[i] for i in got)
+    assert sum(n * n for n in sizes) < 600 * 600 / 2
+
+
+def test_nodes_across_tasks_are_one(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TASK_LEAVES", 100)
+    base = prose(7, 200).split()
+    rows = [(i, " ".join([*base[:190], *prose(800 + i, 10).split()])) for i in range(80)] + [(1000 + i, prose(900 + i, 60)) for i in range(200)]
+    got = bag(ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "class_id", "n_links")
+    assert got == brute_links(rows)
 
 
 def test_components(spark):
