@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import new_folder
+
 #: Rows of a text table that cross to Python at once; bounds a worker's memory.
 TEXT_ROWS_PER_BATCH = 1000
 
@@ -25,20 +26,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Checkpoints df in the shared folder that the session names.
+    """df as written to the shared folder and read again, with its lineage cut.
 
-    Only where no folder is set (as in tests on one machine) it makes its own.
+    Unlike a checkpoint's, its size is known to the planner: estimates of joins over
+    joins would else be multiplied in every round of a loop.
     """
+    path = new_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes the files of a settled df that nothing reads any more."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-            shared = tempfile.mkdtemp(prefix="ledgerframe-checkpoints-")
-        sc.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+    for path in {file.rpartition("/")[0] for file in df.inputFiles()}:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def arrow_map(df: DataFrame, each: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import forget, settle
 
 _MAX_ROUNDS = 60
 #: Parts that a vertex's edges are dealt over, so that a hub's go to many tasks.
@@ -46,8 +46,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = with_group(both, "a", "b", {"m": F.min("b")}).filter("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
         down = large.filter("a != b").distinct()
         small = with_group(down, "a", "b", {"m": F.min("b")})
-        edges = settle(small.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).distinct())
+        last, edges = edges, settle(small.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).distinct())
         after = _state(edges)
+        forget(last)
         if after == before:
             return edges
         before = after

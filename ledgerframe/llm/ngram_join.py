@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import cut
 from .common import Batches, arrow_map, settle
 from .components import components, with_group
 from .words import chunks, mix, signed, span_hash, prefix_sums, split_words, window_hash
@@ -116,6 +117,7 @@ class Leaves:
     def __init__(self, batches: Batches) -> None:
         held = [(b.column("leaf"), b.column("v")) for b in batches if b.num_rows]
         self.v = pa.concat_arrays([x for _, x in held]) if held else pa.array([], pa.binary())
+        self.names = self.v.to_pylist()
         raw = b"".join(x for leaf, _ in held for x in leaf.to_pylist())
         self.leaf = np.frombuffer(raw, dtype=np.uint8).reshape(-1, _LEAF_BYTES)
         differ = self.leaf[1:] != self.leaf[:-1]
@@ -136,8 +138,7 @@ class Leaves:
         return start, np.diff(np.append(start, len(self.leaf)))
 
     def heads(self, start: np.ndarray, size: np.ndarray) -> list[bytes]:
-        v = self.v.to_pylist()
-        return [min(v[a : a + n]) for a, n in zip(start.tolist(), size.tolist(), strict=True)]
+        return [min(self.names[a : a + n]) for a, n in zip(start.tolist(), size.tolist(), strict=True)]
 
 
 def _count_pairs(batches: Batches) -> Batches:
@@ -158,8 +159,8 @@ def _count_pairs(batches: Batches) -> Batches:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["tree", "depth", "node", "n", "head"])
 
 
-def _member_rows(depths: np.ndarray, cut: dict[int, tuple[int, bytes]]):
-    """(v, node, size, head) of every leaf that is not alone under its node; cut has
+def _member_rows(depths: np.ndarray, spread: dict[int, tuple[int, bytes]]):
+    """(v, node, size, head) of every leaf that is not alone under its node; spread has
     size and head of the nodes whose leaves are in several tasks."""
 
     def rows(batches: Batches) -> Batches:
@@ -172,7 +173,7 @@ def _member_rows(depths: np.ndarray, cut: dict[int, tuple[int, bytes]]):
             own = mine[start]
             start, size = start[own], size[own]
             node = signed(leaves.nodes[int(depths[tree])][start])
-            known = [cut.get(x) for x in node.tolist()] if cut else [None] * len(node)
+            known = [spread.get(x) for x in node.tolist()] if spread else [None] * len(node)
             several = (size > 1) | np.array([x is not None for x in known])
             start, size, node, known = start[several], size[several], node[several], [x for x, s in zip(known, several, strict=True) if s]
             if not len(start):
@@ -194,7 +195,7 @@ def candidate_rows(reps: DataFrame) -> DataFrame:
     leaf = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.concat(F.substring(F.unhex(F.hex(t)), -1, 1), F.substr(F.col("label"), t * (2 * MAX_DEPTH) + 1, F.lit(2 * MAX_DEPTH))))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * TREES // TASK_LEAVES))
     order = ["leaf", "v"]  # no two rows are equal, so ranges are even whatever the labels
-    tries = settle(reps.filter("label is not null").select(F.explode(leaf).alias("leaf"), "v").repartitionByRange(tasks, *order).sortWithinPartitions(*order))
+    tries = cut(reps.filter("label is not null").select(F.explode(leaf).alias("leaf"), "v").repartitionByRange(tasks, *order).sortWithinPartitions(*order))
     counted = settle(tries.mapInArrow(_count_pairs, "tree int, depth int, node long, n long, head binary"))
     ends = counted.filter("node is not null").groupBy("tree", "depth", "node").agg(F.sum("n").alias("n"), F.min("head").alias("head"), F.count("*").alias("tasks"))
     pairs = np.zeros((TREES, MAX_DEPTH - MIN_DEPTH + 1))
@@ -203,8 +204,8 @@ def candidate_rows(reps: DataFrame) -> DataFrame:
         pairs[r["tree"], r["depth"] - MIN_DEPTH] = r["pairs"]
     depths = choose_depths(pairs)
     # at most a node for every depth and end of a task
-    cut = {r["node"]: (r["n"], bytes(r["head"])) for r in ends.filter("tasks > 1").collect() if depths[r["tree"]] == r["depth"]}
-    return tries.mapInArrow(_member_rows(depths, cut), "v binary, node long, size long, head binary")
+    known = {r["node"]: (r["n"], bytes(r["head"])) for r in ends.filter("tasks > 1").collect() if depths[r["tree"]] == r["depth"]}
+    return tries.mapInArrow(_member_rows(depths, known), "v binary, node long, size long, head binary")
 
 
 def _set_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
