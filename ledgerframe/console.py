@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
@@ -13,7 +14,8 @@ from .operators import read
 from .session import Session
 from .sources.files import copy_to
 
-_BRACES = r"\{(.*?)\}"
+_QUOTED = r'"(?:[^"\\]|\\.)*"'
+_BRACES = rf'\{{((?:{_QUOTED}|[^"}}])*)\}}'
 #: Commands and their patterns; names of groups are their arguments.
 COMMANDS = {
     "get metadata": r"get @metadata from (?P<ds>\S+)",
@@ -29,17 +31,52 @@ COMMANDS = {
     "reload": r"reload (?P<ds>\S+)",
     "show": r"show @error",
     "set": r"set @(?:timing|time) (?P<state>on|off)",
-    "help": r"help(?: .*)?",
+    "connect": r"connect(?: .*)?",
+    "disconnect": r"disconnect",
+    "exit": r"exit",
+    "help": r"help(?: (?P<what>.+))?",
     "version": r"version(?: @\w+)?",
 }
 
 
+#: Short forms of commands.
+SHORT = {"h": "help", "v": "version", "conn": "connect", "disc": "disconnect", "e": "exit"}
+#: What each command is for.
+HELP = {
+    "get metadata": "get @metadata from DATASET",
+    "get": "get @value from DATASET [with {criteria}]",
+    "join": "join @value from DATASET [with {criteria}] DATASET [with {criteria}] ON|LEFTON|RIGHTON|OUTON {columns}",
+    "add": "add {column:value;...} to DATASET; a column without :value is null",
+    "modify": "modify {column:value;...} in DATASET [with {criteria}]",
+    "remove": "remove from DATASET [with {criteria}]",
+    "list": "list @datasets|@commands",
+    "size": "size [DATASET]",
+    "copy": "copy DATASET PATH",
+    "release": "release DATASET: gives it up until it is reloaded",
+    "reload": "reload DATASET: reads its source anew",
+    "show": "show @error",
+    "set": "set @timing|@time on|off",
+    "connect": "connect [HOST PORT PASSWORD]: this console is always with its session",
+    "disconnect": "disconnect: ends the session's snapshot",
+    "exit": "exit: closes the session",
+    "help": "help [COMMAND]",
+    "version": "version [@server|@console]",
+}
+_ASSIGNMENT = re.compile(rf'\s*([^:;"]+?)\s*(?::\s*({_QUOTED}|[^;"]*?)\s*)?(?:;|$)')
+
+
 def _assignments(text: str) -> dict[str, str | None]:
-    """Parses `col:val;col:val`; a column without a value is null."""
+    """Parses `col:val;col:val`; a column without a value is null, and a value in
+    quotes can hold any character."""
     out: dict[str, str | None] = {}
-    for part in filter(None, (p.strip() for p in text.split(";"))):
-        name, colon, value = part.partition(":")
-        out[name.strip()] = value.strip().strip('"') if colon else None
+    at = 0
+    while text[at:].strip(" ;"):
+        found = _ASSIGNMENT.match(text, at)
+        if found is None:
+            raise TableError(217, text[at : at + 40])
+        name, value = found.groups()
+        out[name] = re.sub(r"\\(.)", r"\1", value[1:-1], flags=re.S) if value and value.startswith('"') else value
+        at = found.end()
     return out
 
 
@@ -56,7 +93,28 @@ class Console:
             print(f"{time.monotonic() - began:.3f} s")
         return out
 
+    def show(self, line: str, out: Callable[[str], None] = print) -> int | None:
+        """Runs a command and prints its result: rows in column order, null as text
+        (blanks for the side that an outer join did not find), then their number."""
+        result = self.run(line)
+        if isinstance(result, str):
+            out(result)
+            return None
+        joined = line.lstrip().lower().startswith("join")
+        out("\t".join(result.columns))
+        out("\t".join("-" * len(c) for c in result.columns))
+        n = 0
+        for row in result.toLocalIterator():  # a partition at a time
+            sides = [row] if not joined else [[x for c, x in zip(result.columns, row, strict=True) if c.startswith(p)] for p in ("l_", "r_")]
+            cells = [("" if joined and all(x is None for x in side) else "null") if x is None else str(x) for side in sides for x in side]
+            out("\t".join(cells))
+            n += 1
+        out(f"{n} datas found.")
+        return n
+
     def _run(self, line: str) -> DataFrame | str:
+        first, space, rest = line.partition(" ")
+        line = SHORT.get(first.lower(), first) + space + rest
         for command, pattern in COMMANDS.items():
             if found := re.fullmatch(pattern, line, re.I | re.S):
                 return self._do(command, found)
@@ -74,17 +132,15 @@ class Console:
         if command == "join":
             return s.search_join(named["a"], named["b"], texts[2], named["mode"], left_criteria=texts[0], right_criteria=texts[1])
         if command == "add":
-            given = _assignments(texts[0])
-            row = s.spark.range(1).selectExpr(*(f"{'NULL' if v is None else repr(v)} AS `{k}`" for k, v in given.items()))
-            return s.insert(ds, row).log
+            return s.insert_row(ds, self._parsed(texts[0])).log
         if command == "modify":
-            return s.modify(ds, _assignments(texts[0]), texts[1]).log
+            return s.modify(ds, self._parsed(texts[0]), texts[1]).log
         if command == "remove":
             return s.remove(ds, texts[0]).log
         if command == "list":
             return s.catalog.listing() if named["what"].lower() == "datasets" else "\n".join(COMMANDS)
         if command == "size":
-            return read.dataset_size(s.catalog.get(ds)) if ds else read.database_size(s.catalog.all())
+            return read.size_parts(s.catalog.get(ds)) if ds else read.database_size(s.catalog.all())
         if command == "copy":
             copy_to(s.catalog.get(ds), named["path"])
             return "copied"
@@ -96,4 +152,20 @@ class Console:
         if command == "set":
             self.timing = named["state"].lower() == "on"
             return f"timing {named['state'].lower()}"
-        return "\n".join(COMMANDS) if command == "help" else about or ""
+        if command in ("connect", "disconnect"):
+            s.end_snapshot()
+            return f"{command}ed"
+        if command == "exit":
+            s.close()
+            return "closed"
+        if command == "help":
+            what = (named["what"] or "").strip().lower()
+            return "\n".join(text for name, text in HELP.items() if name.startswith(SHORT.get(what, what))) or f"no command {what}"
+        return about or ""
+
+    def _parsed(self, text: str) -> dict[str, str | None]:
+        try:
+            return _assignments(text)
+        except TableError as e:
+            self.session.last_error = e
+            raise

@@ -59,7 +59,7 @@ def dataset(name: str, data: DataFrame, keys: list[str], not_null: list[str] | N
     row-group pruning of copies written from it.
     """
     if not keys:
-        raise TableError(108, "keyColumns")
+        raise TableError(110, name)
     casts = {f.name: F.col(f"`{f.name}`").cast(_READ_AS[type(f.dataType)]) for f in data.schema if type(f.dataType) in _READ_AS}
     data = data.withColumns(casts) if casts else data
     for f in data.schema:
@@ -79,7 +79,7 @@ def require_unique(data: DataFrame, keys: tuple[str, ...] | list[str]) -> None:
     null = F.lit(False)
     for k in keys:
         null = null | F.col(f"`{k}`").isNull()
-    counted = data.groupBy(*(F.col(f"`{k}`") for k in keys)).agg(F.count("*").alias("n"))
-    row = counted.filter((F.col("n") > 1) | null).select(null.alias("null")).limit(1).collect()
+    counted = data.groupBy(*(F.col(f"`{k}`") for k in keys)).agg(F.count("*").alias("__n"))
+    row = counted.filter((F.col("__n") > 1) | null).select(null.alias("null")).limit(1).collect()
     if row:
         raise TableError(237 if row[0]["null"] else 241, ", ".join(keys))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..dataset import Dataset, require_unique
 from ..errors import TableError
-from ..functions.criteria import criteria_filter
+from ..functions.criteria import criteria_filter, typed_literal
 
 
 @dataclass(frozen=True)
@@ -45,11 +45,38 @@ def _fit(data: Dataset, rows: DataFrame) -> DataFrame:
     return rows.select(*((F.col(f"`{given[f.name]}`") if f.name in given else F.lit(None)).cast(f.dataType).alias(f.name) for f in data.data.schema))
 
 
+def row_of(data: Dataset, values: dict[str, object]) -> DataFrame:
+    """One row to add, from literals typed as criteria type them."""
+    names = [data.column(c) for c in values]
+    if len({*names}) < len(names):
+        raise TableError(213, ", ".join(values))
+    return data.data.sparkSession.range(1).select(*(typed_value(data, c, v).alias(n) for n, (c, v) in zip(names, values.items(), strict=True)))
+
+
 def _require_not_null(data: Dataset, rows: DataFrame) -> None:
-    for columns, code in ((data.keys, 237), (data.not_null, 248)):
-        for c in columns:
-            if rows.filter(F.col(f"`{c}`").isNull()).limit(1).count():
-                raise TableError(code, c)
+    """One pass over the columns that must not be null."""
+    codes = {**dict.fromkeys(data.not_null, 248), **dict.fromkeys(data.keys, 237)}
+    found = rows.agg(*(F.max(F.col(f"`{c}`").isNull()).alias(c) for c in codes)).first()
+    for c, code in codes.items():
+        if found[c]:
+            raise TableError(code, c)
+
+
+def typed_value(data: Dataset, column: str, value: object) -> Column:
+    """A new value of a column: a Column over the old row as it is, cast; text as a
+    literal of criteria is, refused if it does not fit; other values by Spark's cast."""
+    kind = data.type_of(column)
+    if isinstance(value, Column):
+        return value.cast(kind)
+    if isinstance(value, str):
+        literal = typed_literal(value, kind)
+        if literal is None:
+            raise TableError(215, f"{column}: {value}")
+        return F.expr(literal)
+    made = F.lit(value).try_cast(kind)
+    if value is not None and data.data.sparkSession.range(1).select(made.alias("v")).first()["v"] is None:
+        raise TableError(215, f"{column}: {value}")
+    return made
 
 
 def add(data: Dataset, rows: DataFrame) -> Change:
@@ -74,15 +101,16 @@ def _target(data: Dataset, criteria: str | None, keys: DataFrame | None) -> tupl
 def modify(data: Dataset, values: dict[str, object], criteria: str | None = None, keys: DataFrame | None = None) -> Change:
     """Sets columns of the rows meant; null clears one. Values are literals or
     Columns over the old row. New keys must not collide."""
-    named = {data.column(c): v for c, v in values.items()}
+    if not values:
+        raise TableError(214, data.name)
+    new = {data.column(c): typed_value(data, c, v) for c, v in values.items()}
     rows, hit = _target(data, criteria, keys)
     marked = rows.withColumn("__hit", hit)
-    new = {c: (v if isinstance(v, Column) else F.lit(v)).cast(data.type_of(c)) for c, v in named.items()}
     changed = marked.select(_row(data).alias("__old"), "__hit", *(F.when(F.col("__hit"), new[c]).otherwise(F.col(f"`{c}`")).alias(c) if c in new else F.col(f"`{c}`") for c in data.data.columns))
     hits = changed.filter("__hit")
-    if {*named} & {*data.keys, *data.not_null}:
+    if {*new} & {*data.keys, *data.not_null}:
         _require_not_null(data, hits)
-    if {*named} & {*data.keys}:
+    if {*new} & {*data.keys}:
         require_unique(changed.select(*data.keys), data.keys)
         kept = F.lit(True)
         for k in data.keys:

@@ -24,10 +24,15 @@ def posting_counts(data: Dataset, index: str) -> DataFrame:
     return data.data.groupBy(*columns).agg(F.count("*").alias("n_keys"), F.min(key).alias("first_key"), F.max(key).alias("last_key"))
 
 
-def posting_lists(data: Dataset, index: str) -> DataFrame:
-    """Per indexed value the sorted list of its keys; for selective indexes."""
+def posting_lists(data: Dataset, index: str, longest: int = 100_000) -> DataFrame:
+    """Per indexed value the sorted lists of its keys, piece by piece: a value with
+    more keys than longest has several pieces (by a hash of the key) of about that."""
     columns = data.indexes[index]
-    return data.data.groupBy(*columns).agg(F.sort_array(F.collect_list(F.struct(*data.keys))).alias("keys"))
+    rows = data.data.select(*columns, F.struct(*data.keys).alias("key"))
+    counts = rows.groupBy(*(F.col(f"`{c}`").alias(f"__{c}") for c in columns)).agg(F.ceil(F.count("*") / longest).alias("__pieces"))
+    same = [F.col(f"`{c}`").eqNullSafe(F.col(f"`__{c}`")) for c in columns]
+    dealt = rows.join(counts, same).select(*columns, F.pmod(F.xxhash64("key"), F.col("__pieces")).alias("piece"), "key")
+    return dealt.groupBy(*columns, "piece").agg(F.sort_array(F.collect_list("key")).alias("keys"))
 
 
 def compact_index_log(log: DataFrame, columns: list[str]) -> DataFrame:

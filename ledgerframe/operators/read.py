@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..dataset import Dataset
+from ..errors import TableError
 from ..functions.criteria import criteria_filter
 from ..lineage import cut
 
@@ -20,6 +21,13 @@ def get(data: Dataset, criteria: str | None = None, select: list[str] | None = N
 
 def point_get(data: Dataset, key: dict[str, object]) -> DataFrame:
     """The value columns of one key: no row or one."""
+    named = [data.column(c) for c in key]
+    if not key:
+        raise TableError(207, data.name)
+    if other := [c for c in named if c not in data.keys]:
+        raise TableError(220, ", ".join(other))
+    if len({*named}) != len(data.keys):
+        raise TableError(219 if len(named) > len(data.keys) else 216, ", ".join(c for c in data.keys if c not in named))
     rows = data.data
     for name, value in key.items():
         rows = rows.filter(F.col(f"`{data.column(name)}`") == F.lit(value))
@@ -32,6 +40,13 @@ def multi_get(data: Dataset, keys: DataFrame) -> DataFrame:
     return keys.join(data.data, list(data.keys), "left")
 
 
+def key_of(data: Dataset, values: list[object]) -> dict[str, object]:
+    """A key from its values in the order of the key columns."""
+    if len(values) != len(data.keys):
+        raise TableError(218, data.name)
+    return dict(zip(data.keys, values, strict=True))
+
+
 def in_key_order(data: Dataset) -> DataFrame:
     """All rows sorted by key, nulls first."""
     return data.data.orderBy(*(F.col(f"`{k}`").asc_nulls_first() for k in data.keys))
@@ -70,14 +85,29 @@ def metadata(data: Dataset) -> DataFrame:
     return data.data.sparkSession.createDataFrame(rows, "id int, name string, type string, key_position int, nullable boolean")
 
 
-def dataset_size(data: Dataset, columns: list[str] | None = None) -> DataFrame:
-    """Bytes of stored cells: four and the text's length for every non-null one."""
-    names = [data.column(c) for c in columns] if columns else data.data.columns
+def _cells(names: list[str]) -> Column:
+    """Bytes of a row's cells: four and the text's length for every non-null one."""
     cells = [F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")) + 4, F.lit(0)) for c in names]
     total = cells[0].cast("long")
     for cell in cells[1:]:
         total = total + cell
-    return data.data.agg(F.coalesce(F.sum(total), F.lit(0)).alias("bytes")).select(F.lit(data.name).alias("dataset"), "bytes")
+    return total
+
+
+def dataset_size(data: Dataset, columns: list[str] | None = None) -> DataFrame:
+    """Bytes of the stored cells, of all columns or those named."""
+    names = [data.column(c) for c in columns] if columns else data.data.columns
+    return data.data.agg(F.coalesce(F.sum(_cells(names)), F.lit(0)).alias("bytes")).select(F.lit(data.name).alias("dataset"), "bytes")
+
+
+def size_parts(data: Dataset) -> DataFrame:
+    """Bytes by part: cells, one row for each declared index (its columns and keys), and
+    the metadata (names and types). One pass over the rows for all of them."""
+    parts = {"cells": data.data.columns} | {f"index {n}": [*c, *(k for k in data.keys if k not in c)] for n, c in data.indexes.items()}
+    sums = data.data.agg(*(F.coalesce(F.sum(_cells(c)), F.lit(0)).alias(n) for n, c in parts.items()))
+    described = sum(8 + len(f.name.encode()) + len(f.dataType.simpleString()) for f in data.data.schema)
+    rows = F.array(*(F.struct(F.lit(n).alias("part"), F.col(f"`{n}`").alias("bytes")) for n in parts), F.struct(F.lit("metadata").alias("part"), F.lit(described).cast("long").alias("bytes")))
+    return sums.select(F.inline(rows)).select(F.lit(data.name).alias("dataset"), "part", "bytes")
 
 
 def database_size(sets: list[Dataset], columns: dict[str, list[str]] | None = None) -> DataFrame:
