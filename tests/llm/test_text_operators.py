@@ -71,7 +71,7 @@ def test_repeats_equal_brute_force(spark, sf_dir, documents):
 
 
 def test_repeats_in_special_cases(edges):
-    hashed = {(r["doc_id"], r["text"]): r["h"] for r in edges.withColumn("h", F.shiftrightunsigned(F.xxhash64("text"), 41)).collect()}
+    hashed = {(r["doc_id"], r["text"]): r["h"] for r in edges.withColumn("h", F.xxhash64("text")).collect()}
     rows = [tuple(r) for r in edges.select("doc_id", "text").collect()]
     want = brute_repeats(rows, lambda r: (r[0] is not None, r[0] or 0, hashed[r]))
     assert bag(substring_dedup.repeat_digest(edges), *DIGEST) == want
@@ -89,6 +89,51 @@ def test_cut_keeps_columns_and_untouched_texts(clashing, no_docs):
     assert substring_dedup.cut_repeats(no_docs).count() == 0
 
 
+def test_factors_are_copies_of_earlier_text(spark, documents):
+    a, b, c = prose(1, 90).split(), prose(2, 80).split(), prose(3, 70).split()
+    own = [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join([*c[:30], *a[10:70], *b[5:45], *c[30:]])), (4, " ".join([*b[:25], *b[:25]])), (5, " ".join([*c, *a]))]
+    for rows, df in ((own, spark.createDataFrame(own, "doc_id long, text string")), ([tuple(r) for r in documents.select("doc_id", "text").collect()], documents)):
+        words = {i: words_of(t) for i, t in rows}
+        found = defaultdict(list)
+        for r in substring_dedup.parse_documents(df).collect():
+            assert r["n_words"] >= 20 and (r["ref_doc"], r["ref_start"]) < (r["doc_id"], r["start"])
+            assert words[r["doc_id"]][r["start"] : r["start"] + r["n_words"]] == words[r["ref_doc"]][r["ref_start"] : r["ref_start"] + r["n_words"]]
+            found[r["doc_id"]].append((r["start"], r["n_words"], r["ref_doc"], r["ref_start"]))
+        gone = {i: len({j for s, n, *_ in fs for j in range(s, s + n)}) for i, fs in found.items()}
+        assert all(gone.get(k[0], 0) == k[2] for k in brute_repeats(rows, lambda r: r[0]))
+        if rows is own:
+            assert sorted(found[3]) == [(30, 60, 1, 10), (90, 40, 2, 5)]  # two copies, each as long as it can be
+            assert (70, 90, 1, 0) in found[5]
+
+
+def test_a_passage_of_every_document_makes_no_large_group(spark, monkeypatch):
+    common, n = prose(5, 40), 6000
+    rows = [(i, f"{prose(10 + i % 50, 4)} a{i} b{i} {common} c{i} {prose(10 + i % 50, 6)} d{i}") for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6).cache()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "300")
+    sizes = {}
+    settle = substring_dedup.settle
+    keyed = docs.select(F.col("doc_id").alias("__lf_doc"), F.xxhash64("text").alias("__lf_th"), "text")
+    blocks = settle(keyed.mapInArrow(substring_dedup._block_rows, "m long, c long, doc long, th long, pack long, ref_at long, state byte"))
+    sizes["blocks"] = blocks.groupBy("m").count().agg(F.max("count")).first()[0]
+    opened = blocks.filter("state in (2, 3)").groupBy(F.col("doc").alias("__lf_doc"), F.col("th").alias("__lf_th")).agg(F.collect_list("pack").alias("__lf_open"))
+    windows = keyed.join(opened, ["__lf_doc", "__lf_th"]).mapInArrow(substring_dedup._boundary_rows, "h long, doc long, th long, pack long, known boolean, ref_doc long, ref_at long")
+    sizes["windows"] = windows.groupBy("h").count().agg(F.max("count")).first()[0]
+    assert max(sizes.values()) <= 60, sizes  # of 6,000 documents
+    got = bag(substring_dedup.repeat_digest(docs), *DIGEST)
+    assert got == brute_repeats(rows, lambda r: r[0])
+    monkeypatch.setattr(substring_dedup, "HELD", 5)
+    assert got == bag(substring_dedup.repeat_digest(docs), *DIGEST)
+
+
+def test_many_texts_of_one_id_or_of_none_stay_apart(spark):
+    rows = [(None if i % 2 else 7, f"{prose(i, 30)} {prose(3, 25)}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    hashed = {(r["doc_id"], r["text"]): r["h"] for r in docs.withColumn("h", F.xxhash64("text")).collect()}
+    want = brute_repeats(rows, lambda r: (r[0] is not None, hashed[r] if r[0] is not None else hashed[r] % 2**64 >> 2))
+    assert bag(substring_dedup.repeat_digest(docs), *DIGEST) == want
+
+
 # --- n-gram join
 
 
