@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..lineage import new_folder
 
-#: Rows of a text table that cross to Python at once; bounds a worker's memory.
-TEXT_ROWS_PER_BATCH = 1000
+#: Rows and bytes of a text table that cross to Python at once; bound a worker's memory.
+TEXT_ROWS_PER_BATCH, TEXT_BYTES_PER_BATCH = 1000, "32m"
 
 #: Fixed value: the words of the query contracts, as a Java regular expression.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,6 +22,7 @@ Batches = Iterator[pa.RecordBatch]
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder. Text tables cross to Python in small batches."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS_PER_BATCH))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", TEXT_BYTES_PER_BATCH)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
