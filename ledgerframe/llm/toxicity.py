@@ -19,7 +19,8 @@ if any label says so; repeated rows are scored each; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,7 +34,8 @@ from .words import chunks
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 2500
 SHORTEST, LONGEST, HASH_BITS = 3, 5, 20
 MIN_TEXTS, MIN_RATIO, KEPT_GRAMS = 3, 0.4, 50_000
-STEPS, L2, RATE = 300, 1.0, 0.05
+#: The penalty, and when the fit stops: steps at most, and the gradient against the first one.
+L2, STEPS, TOLERANCE = 1.0, 200, 1e-4
 THRESHOLD = 0.7
 #: A gram is at a level if the text has it so many times, and once in so many characters.
 LEVELS = ((1, None), (2, 1000), (3, 500))
@@ -115,21 +117,51 @@ def fit_linear(texts: list[np.ndarray], toxic: np.ndarray, rate: float) -> Toxic
     doc = np.repeat(np.arange(len(texts)), [len(c) for c in columns])
     column = np.concatenate(columns)
     value = ratio[kept][column]
-    weight, bias = np.zeros(len(kept)), 0.0
     n = len(toxic)
     balance = np.where(toxic == 1, 0.5 / n_toxic, 0.5 / n_clean)
-    m, s, mb, sb = np.zeros(len(kept)), np.zeros(len(kept)), 0.0, 0.0
-    for step in range(1, STEPS + 1):
-        logits = np.bincount(doc, weights=weight[column] * value, minlength=n) + bias
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        """The balanced log loss with its penalty, and the gradient; the last weight is the bias."""
+        logits = np.bincount(doc, weights=w[:-1][column] * value, minlength=n) + w[-1]
         error = (_sigmoid(logits) - toxic) * balance
-        g = np.bincount(column, weights=error[doc] * value, minlength=len(kept)) + L2 / n * weight
-        gb = error.sum()
-        m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
-        mb, sb = 0.9 * mb + 0.1 * gb, 0.99 * sb + 0.01 * gb * gb
-        a, b = 1 - 0.9**step, 1 - 0.99**step
-        weight -= RATE * (m / a) / (np.sqrt(s / b) + 1e-8)
-        bias -= RATE * (mb / a) / (np.sqrt(sb / b) + 1e-8)
-    return ToxicityModel(kept, (weight * ratio[kept]).astype(np.float32), bias + prior)
+        gradient = np.append(np.bincount(column, weights=error[doc] * value, minlength=len(kept)) + L2 / n * w[:-1], error.sum())
+        return float((balance * (np.logaddexp(0, logits) - toxic * logits)).sum() + L2 / n / 2 * (w[:-1] @ w[:-1])), gradient
+
+    w = minimise(loss, np.zeros(len(kept) + 1))
+    return ToxicityModel(kept, (w[:-1] * ratio[kept]).astype(np.float32), float(w[-1]) + prior)
+
+
+def minimise(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], w: np.ndarray) -> np.ndarray:
+    """The minimum of a smooth convex function by L-BFGS, to a gradient TOLERANCE of its first."""
+    value, g = loss(w)
+    least = TOLERANCE * np.linalg.norm(g)
+    steps: deque[tuple[np.ndarray, np.ndarray, float]] = deque(maxlen=10)
+    for _ in range(STEPS):
+        if np.linalg.norm(g) <= least:
+            break
+        d, told = -g, []
+        for s, y, r in reversed(steps):
+            told.append(r * (s @ d))
+            d = d - told[-1] * y
+        if steps:
+            s, y, r = steps[-1]
+            d = d / (r * (y @ y))
+        else:
+            d = d / max(1e-12, np.linalg.norm(g))
+        for (s, y, r), a in zip(steps, reversed(told), strict=True):
+            d = d + s * (a - r * (y @ d))
+        slope, t = g @ d, 1.0
+        new_value, new_g = loss(w + d)
+        while new_value > value + 1e-4 * t * slope and t > 1e-8:
+            t /= 2
+            new_value, new_g = loss(w + t * d)
+        if new_value >= value:
+            break
+        s, y = t * d, new_g - g
+        if s @ y > 1e-12 * np.linalg.norm(s) * np.linalg.norm(y):
+            steps.append((s, y, 1 / (s @ y)))
+        w, value, g = w + s, new_value, new_g
+    return w
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
