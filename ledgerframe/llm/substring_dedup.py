@@ -242,8 +242,9 @@ def mark_repeats(docs: DataFrame) -> DataFrame:
     blocks = (
         keyed.select(*_KEY, "text")
         .mapInArrow(_block_rows, "m long, c long, doc long, th long, pack long, ref_at long, state byte")
-        .withColumn("first", F.min(F.when(F.col("state") != _MARK, where)).over(by_content))
+        # by minimiser first: what is dealt by it serves the look-up by content too
         .withColumn("open", several | F.col("state").isin(_MIXED, _REPEATS_ITSELF))
+        .withColumn("first", F.min(F.when(F.col("state") != _MARK, where)).over(by_content))
         .filter(F.col("state") != _MARK)
         .select("doc", "th", "pack", F.when(repeated, entry).alias("repeated"), "open")
         .filter("repeated is not null or open")
@@ -260,7 +261,6 @@ def mark_repeats(docs: DataFrame) -> DataFrame:
     windows = (
         # all columns of dealt, so that both uses read one and the same shuffle
         dealt.join(found.filter(F.size("__lf_open") > 0).select(*_KEY, "__lf_open"), _KEY)
-        .select(*_KEY, "text", "__lf_open")
         .mapInArrow(_boundary_rows, "h long, doc long, th long, pack long, known boolean, ref_doc long, ref_at long")
         .withColumn("first", F.min(where).over(Window.partitionBy("h")))
         .filter(settled | (where > F.col("first")))
